@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ HUBBLE_KM_S_MPC = 69.32
 
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# ASCII punctuation as one character class.
-PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+# ASCII punctuation.
+PUNCTUATION_MARKS = string.punctuation
 
 
 def first_present(*values: Column) -> Column:
@@ -132,12 +133,12 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def punctuation_to_blank(text: Column) -> Column:
-    return collapse_blanks(F.regexp_replace(text, PUNCTUATION, " "))
+    return collapse_blanks(F.translate(text, PUNCTUATION_MARKS, " " * len(PUNCTUATION_MARKS)))
 
 
 def category_label(text: Column) -> Column:
     """Column-name form of a category value: punctuation dropped, words capitalised and joined."""
-    return F.regexp_replace(F.initcap(F.regexp_replace(text, PUNCTUATION, "")), r"\s+", "")
+    return F.regexp_replace(F.initcap(F.translate(text, PUNCTUATION_MARKS, "")), r"\s+", "")
 
 
 def set_value(column: Column, old: str, new: object) -> Column:

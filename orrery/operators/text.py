@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.scalars import PUNCTUATION
+from orrery.functions.scalars import PUNCTUATION_MARKS
 from orrery.functions.wordlists import ENGLISH_STOP_WORDS, SPLIT_WORDS
 from orrery.session import broadcast_if_small
 
@@ -30,7 +30,8 @@ def tokens(text: Column, lower: bool = False) -> Column:
     """Words of a text: addresses hidden, punctuation and digits to blanks, split at white space."""
     if lower:
         text = F.lower(text)
-    plain = F.regexp_replace(F.regexp_replace(hide_urls(text), PUNCTUATION, " "), "[0-9]", " ")
+    marks = PUNCTUATION_MARKS + "0123456789"
+    plain = F.translate(hide_urls(text), marks, " " * len(marks))
     words = F.filter(F.split(plain, WHITE), lambda w: w != "")
 
     def parts(word: Column) -> Column:

@@ -20,16 +20,19 @@ HAND_TAGS = [
 
 def _keywords(t):
     words = F.split("text", " ")
-    pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))))
+    following = F.slice(words, F.lit(2), F.size(words))
+    pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))))
     hand = F.array(*[F.lit(h) for h in HAND_TAGS])
     return t.documents.select("doc_id", F.concat(words, pairs, F.slice(hand, (F.col("doc_id") % 7 + 1).cast("int"), 8)).alias("keywords"))
 
 
 _SQL_KEYWORDS = (
-    "(select doc_id, unnest(list_distinct(words || list_transform(range(1, len(words) + 1), lambda i: words[i] || ' ' || coalesce(words[i + 1], '')) || "
-    + "list_slice(["
+    "(with w as (select doc_id, unnest(words) as w, generate_subscripts(words, 1) as i from (select doc_id, string_split(text, ' ') as words from documents)) "
+    "select distinct doc_id, raw from (select doc_id, w as raw from w union all "
+    "select doc_id, w || ' ' || coalesce(lead(w) over (partition by doc_id order by i), '') from w union all "
+    "select doc_id, unnest(list_slice(["
     + ", ".join(f"'{h}'" for h in HAND_TAGS)
-    + "], (doc_id % 7) + 1, (doc_id % 7) + 8))) as raw from (select doc_id, string_split(text, ' ') as words from documents))"
+    + "], (doc_id % 7) + 1, (doc_id % 7) + 8)) from documents))"
 )
 
 
@@ -53,7 +56,7 @@ def _sql_clean_tags() -> str:
         chain = f"replace({chain}, '{q(old)}', '{q(new)}')"
     body = f"select raw, {chain} as x from ({body}) where length(x) > 3"
     for old, new in W.TAG_PREFIXES:
-        body = f"select raw, case when starts_with(x, '{q(old)}') then '{q(new)}' else x end as x from ({body})"
+        body = f"select raw, regexp_replace(x, '(?s)^{q(old)}.*', '{q(new)}') as x from ({body})"
     ignore = ", ".join(f"'{q(i)}'" for i in W.TAG_IGNORE)
     return f"(select raw, x as tag from ({body}) where x not in ({ignore}))"
 
@@ -90,12 +93,13 @@ def txt03(t):
 
 # -- tokens ------------------------------------------------------------------------------------------------------------
 _URL = r"http[s+]?:[s+]?//[!$-_a-z]+"
-_RAW_URLS = f"regexp_extract_all(html, '{_URL}')"
+_RAW_URLS = f"regexp_extract_all(html || ' ' || url || ', see ' || url || '#x', '{_URL}')"
 
 
 @query("txt04_find_urls", sql=f"select page_id, u as url, count(*) as n from (select page_id, unnest({_RAW_URLS}) as u from pages) group by all")
 def txt04(t):
-    return t.pages.select("page_id", F.explode(TX.urls(F.col("html"))).alias("url")).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat("html", F.lit(" "), "url", F.lit(", see "), "url", F.lit("#x"))
+    return t.pages.select("page_id", F.explode(TX.urls(text)).alias("url")).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sql_hidden(col: str) -> str:
