@@ -25,7 +25,7 @@ def evaluate(df: DataFrame, keys: Sequence[str], value: str, row_id: str, trials
     drawn = stats.difference_intervals(means, group, "mean").groupBy(*keys).agg(
         *[F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{n}_{v.lower()}") for v in "AB" for c, n in (("mean", "drawn_mean"), ("t_low", "drawn_low"), ("t_high", "drawn_high"))]
     )
-    differences = resample.mean_differences(clean, keys, value, row_id, trials, seed=seed)
+    differences = cut_lineage(resample.mean_differences(clean, keys, value, row_id, trials, seed=seed))
     intervals = stats.difference_intervals(differences, keys, "difference").withColumnsRenamed({"n": "replicates", "mean": "difference", "std": "difference_std"})
     shape = stats.normality(differences, keys, "difference").select(*keys, "skewness", F.col("p_value").alias("normality_p"), "acceptable")
     joined = summary.join(drawn, keys).join(intervals, keys).join(shape, keys)
