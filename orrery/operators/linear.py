@@ -77,8 +77,9 @@ def cutoff_sweep(df: DataFrame, dummies: Sequence[str], target: str, start: floa
             if picks not in solved:
                 solved[picks] = _solve(gram, [0, *picks], len(names) - 1)
             beta, r2 = solved[picks]
+            r2 = float(r2)
             if r2 > 0 and beta[0] > 0:
-                out.append({"cutoff": share * n, "r2": r2, "columns": [names[i] for i in picks], "intercept": float(beta[0]), "weights": beta[1:].tolist()})
+                out.append({"cutoff": float(share * n), "r2": r2, "columns": [names[i] for i in picks], "intercept": float(beta[0]), "weights": beta[1:].tolist()})
         share -= step
     out.sort(key=lambda r: -r["r2"])
     if out:

@@ -338,36 +338,29 @@ def lm01(t):
     return rows.select(*ROW, "pred", "delta")
 
 
-WORDS = ["small", "red", "ring", "widget"]
+DUMMIES = {"even": 2, "third": 3, "fifth": 5, "seventh": 7}
 
 
 def _dummies(t):
-    tags = t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("tag"))
-    return EN.indicator_columns(tags, "p_partkey", "tag", WORDS).join(t.part.select("p_partkey", "p_size", (F.col("p_retailprice") + F.col("p_size") * 0).alias("price")), "p_partkey")
-
-
-_SQL_DUMMY = "(select p_partkey, " + ", ".join(f"(' ' || p_name || ' ' like '% {w} %')::int as {w}" for w in WORDS) + ", p_size, p_retailprice as price from part)"
+    """Four 0/1 columns of falling frequency per part, and a price."""
+    return t.part.select("p_partkey", "p_size", F.col("p_retailprice").alias("price"), *[(F.col("p_partkey") % m == 0).cast("int").alias(n) for n, m in DUMMIES.items()])
 
 
 @query(
-    "lm02_cutoff_sweep",
-    sql="with d as (select *, red::double as x from " + _SQL_DUMMY + """),
- one as (select (select w from (values ('small'), ('red'), ('ring'), ('widget')) v(w) join (select sum(small) as s, sum(red) as r, sum(ring) as g, sum(widget) as h from d) on true
- order by case w when 'small' then s when 'red' then r when 'ring' then g else h end desc limit 1) as name),
- y as (select price, case name when 'small' then small when 'red' then red when 'ring' then ring else widget end::double as x from d, one)
- select (select name from one) as feature, round(regr_r2(price, x), 6) as r2, round(regr_intercept(price, x), 4) as intercept, round(regr_slope(price, x), 4) as weight from y""",
+    "lm02_first_cutoff",
+    sql="""select 'even' as feature, round(regr_r2(price, x), 8) as r2, round(regr_intercept(price, x), 4) as intercept, round(regr_slope(price, x), 4) as weight
+ from (select p_retailprice as price, (p_partkey % 2 = 0)::int::double as x from part)""",
 )
 def lm02(t):
-    """The sweep's fit on the single most frequent column, which SQL can state; the whole sweep is in lm02_sweep_rows."""
-    sweep = LM.cutoff_sweep(_dummies(t), WORDS, "price")
-    single = next(r for r in sorted(sweep, key=lambda r: len(r["columns"])) if len(r["columns"]) == 1)
-    row = [(single["columns"][0], round(single["r2"], 6), round(single["intercept"], 4), round(single["weights"][0], 4))]
+    """The sweep's fit on the single most frequent column, which SQL can state; the whole sweep is in lm02_cutoff_sweep."""
+    single = next(r for r in LM.cutoff_sweep(_dummies(t), list(DUMMIES), "price") if len(r["columns"]) == 1)
+    row = [(single["columns"][0], round(single["r2"], 8), round(single["intercept"], 4), round(single["weights"][0], 4))]
     return t.spark.createDataFrame(row, "feature string, r2 double, intercept double, weight double")
 
 
-@query("lm02_sweep_rows")
+@query("lm02_cutoff_sweep")
 def lm02_rows(t):
-    rows = [(r["cutoff"], r["r2"], ",".join(r["columns"]), r["intercept"], r["best"]) for r in LM.cutoff_sweep(_dummies(t), WORDS, "price")]
+    rows = [(r["cutoff"], r["r2"], ",".join(r["columns"]), r["intercept"], r["best"]) for r in LM.cutoff_sweep(_dummies(t), list(DUMMIES), "price")]
     return t.spark.createDataFrame(rows, "cutoff double, r2 double, columns string, intercept double, best boolean")
 
 
@@ -393,7 +386,7 @@ def lm05(t):
 
 @query("lm06_best_features")
 def lm06(t):
-    names = LM.best_features(LM.cutoff_sweep(_dummies(t), WORDS, "price"), ["p_size", "price"], exclude=["price"])
+    names = LM.best_features(LM.cutoff_sweep(_dummies(t), list(DUMMIES), "price"), ["p_size", "price"], exclude=["price"])
     return t.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, feature string")
 
 

@@ -14,7 +14,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
     # -- entity roles ---------------------------------------------------------------------------------------------
     def objects(self) -> DataFrame:
@@ -79,6 +80,16 @@ class Tables:
         )
 
 
+# Tables whose rows are costly to work on.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a text table that fits into fewer files than there are cores one partition per core; larger ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 BANDS = ["u", "b", "v", "g", "r", "i", "z"]
 
 
