@@ -82,9 +82,7 @@ def blocked(df: DataFrame, pos: Column, halo: int, rows: int = BLOCK_ROWS) -> Da
     ``halo`` rows away can be partitioned by (keys, _block).
     """
     own = F.floor(pos / rows)
-    blocks = F.array_distinct(
-        F.array(own, F.floor(F.greatest(pos - halo, F.lit(0)) / rows), F.floor((pos + halo) / rows))
-    )
+    blocks = F.sequence(F.floor(F.greatest(pos - halo, F.lit(0)) / rows), F.floor((pos + halo) / rows))
     return df.withColumn("_block", F.explode(blocks)).withColumn("_home", F.col("_block") == own)
 
 
