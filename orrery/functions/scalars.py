@@ -129,7 +129,8 @@ def best_identifier(best: Column, fallback: Column) -> Column:
 
 
 def collapse_blanks(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), " +", " ")
+    trimmed = F.trim(text)
+    return F.when(trimmed.contains("  "), F.regexp_replace(trimmed, " +", " ")).otherwise(trimmed)
 
 
 def punctuation_to_blank(text: Column) -> Column:

@@ -71,9 +71,7 @@ SQL_CLEAN = _sql_clean_tags()
 )
 def txt01(t):
     cleaned = _keywords(t).select("doc_id", TG.clean_tags(F.col("keywords")).alias("tags"))
-    return cleaned.filter(F.size("tags") > 0).select(
-        "doc_id", F.size("tags").cast("bigint").alias("tags"), F.md5(F.array_join("tags", "|")).alias("digest")
-    )
+    return cleaned.select("doc_id", F.size("tags").cast("bigint").alias("tags"), F.md5(F.array_join("tags", "|")).alias("digest"))
 
 
 @query("txt02_tag_vocabulary", sql=f"select distinct tag from {SQL_CLEAN}")
