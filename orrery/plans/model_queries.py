@@ -13,7 +13,7 @@ from orrery.operators import recommend as RC
 from orrery.operators.profile import describe
 from orrery.plans.entity_queries import SQL_SCORED, SQL_VOTED, scored
 from orrery.plans.registry import query
-from orrery.plans.tables import SQL_EDGES, SQL_OBJECTS, SQL_REFCODE, refcode
+from orrery.plans.tables import SQL_EDGE_KEYS, SQL_EDGES, SQL_OBJECTS, SQL_REFCODE, refcode
 from orrery.session import cut_lineage, fresh_path
 
 # Iterations of the pair classifier in the registered queries; the function's default is the published setting.
@@ -212,7 +212,7 @@ def ml09(t):
     return FA.latent_feature_errors(cut_lineage(_rows(t)), "p_partkey", "v", range(5, 26, 5))
 
 
-_SQL_FACTORS = f"(select s_nationkey as cluster, {SQL_REFCODE} as refcode, ((s_nationkey * 13 + p_partkey * 7) % 100) / 100 as score from (select distinct s_nationkey, l_partkey as p_partkey from lineitem join supplier on s_suppkey = l_suppkey where l_linenumber = 2) join part using (p_partkey))"
+_SQL_FACTORS = f"(select s_nationkey as cluster, {SQL_REFCODE} as refcode, ((s_nationkey * 13 + p_partkey * 7) % 100) / 100 as score from (select distinct s_nationkey, p_partkey from {SQL_EDGE_KEYS} k join supplier using (s_suppkey)) join part using (p_partkey))"
 
 
 @query(
@@ -220,7 +220,7 @@ _SQL_FACTORS = f"(select s_nationkey as cluster, {SQL_REFCODE} as refcode, ((s_n
     sql=f"select objid, refcode, round(score, 6) as cf_score from {_SQL_FACTORS} f join {SQL_OBJECTS} o on o.s_nationkey = f.cluster",
 )
 def ml10(t):
-    pairs = t.lineitem.filter("l_linenumber = 2").join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("s_nationkey", F.col("l_partkey").alias("p_partkey")).distinct()
+    pairs = t.edge_keys().join(t.supplier, "s_suppkey").select("s_nationkey", "p_partkey").distinct()
     scores = pairs.join(t.part, "p_partkey").select(
         F.col("s_nationkey").alias("cluster"), refcode(F.col("p_partkey"), F.col("p_brand")).alias("refcode"), ((F.col("s_nationkey") * 13 + F.col("p_partkey") * 7) % 100 / 100).alias("score")
     )

@@ -8,6 +8,7 @@ from orrery.functions import wordlists as W
 from orrery.operators import tags as TG
 from orrery.operators import text as TX
 from orrery.plans.registry import query
+from orrery.session import cut_lineage
 from orrery.sources import html as H
 
 # -- tags --------------------------------------------------------------------------------------------------------------
@@ -187,7 +188,7 @@ def txt09(t):
  select doc_id, token, round(v / len, 6) as weight from w join d using (doc_id)""",
 )
 def txt10(t):
-    counts = TX.token_counts(TX.token_rows(t.documents, "doc_id", "text"), "doc_id")
+    counts = cut_lineage(TX.token_counts(TX.token_rows(t.documents, "doc_id", "text"), "doc_id"))
     idf = TX.inverse_frequencies(counts, t.documents.count())
     return TX.tf_idf(counts, "doc_id", idf).withColumn("weight", F.round("weight", 6))
 
