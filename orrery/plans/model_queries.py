@@ -286,13 +286,11 @@ def ml14(t):
 
 @query("snk03_model_bundle")
 def snk03(t):
-    from pyspark.sql import functions as F2
-
     path = fresh_path(t.spark, "model")
     _model(t).save(path)
     restored = RC.Recommender.load(t.spark, path)
     parts = [(n, getattr(restored, n)) for n in RC.BUNDLE_TABLES]
-    rows = [df.agg(F2.count(F2.lit(1)).alias("n")).select(F2.lit(n).alias("part"), "n") for n, df in parts]
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n, df in parts]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

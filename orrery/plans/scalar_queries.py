@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import links
 from orrery.functions import scalars as S
 from orrery.plans.registry import query
-from orrery.plans.tables import BANDS, SQL_BANDS, SQL_EDGES, SQL_MEASURES, SQL_OBJECTS  # noqa: F401
+from orrery.plans.tables import BANDS, SQL_BANDS, SQL_MEASURES, SQL_OBJECTS
 
 SQL_FILLED = f"""(select vec_id, f0 as u, f1 as b, f2 as v, f3 as g, f4 as r, f5 as i, coalesce(z, f5) as z from (
  select *, coalesce(i, (f4 + z) / 2, f4, z) as f5 from (
