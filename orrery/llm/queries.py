@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import token_files
+from orrery.llm import simhash, token_files
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -34,3 +34,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_files.read_tokens(spark, path)
     digest = stored(tokens.select("part", "shard", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digest")
     return token_files.with_starts(digest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
