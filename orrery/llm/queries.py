@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import simhash, token_files
+from orrery.llm import bitslice, simhash, token_files
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -41,3 +41,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
+
+
+@query(
+    "op4_top_k",
+    """with v as (
+      select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as e from embeddings
+      where vec_id is not null and embedding is not null
+        and list_bool_and(list_transform(embedding, x -> x is not null and coalesce(isfinite(x), false)))),
+    scored as (
+      select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i]))::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+    select query_id, rank, vec_id, score from ranked where rank <= 5""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
