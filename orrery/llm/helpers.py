@@ -37,21 +37,38 @@ class WordCache:
     ``encode_many`` gets a list of distinct pieces and returns their encodings in the same order.
     """
 
-    def __init__(self, name: str, encode_many: Callable[[list[str]], Iterable], limit: int = 700_000):
+    def __init__(self, name: str, encode_many: Callable[[list], Iterable], limit: int = 400_000):
         self.known = process_store(name)
         self.encode_many = encode_many
         self.limit = limit
 
-    def learn(self, pieces: Iterable[str]) -> dict:
-        missing = [p for p in set(pieces) if p not in self.known]
+    def learn(self, pieces: Iterable) -> dict:
+        """The memo, with these pieces in it."""
+        wanted = set(pieces)
+        missing = wanted.difference(self.known)
         if missing:
             if len(self.known) + len(missing) > self.limit:
                 self.known.clear()
-                missing = list(set(pieces))
+                missing = wanted
+            missing = list(missing)
             self.known.update(zip(missing, self.encode_many(missing)))
         return self.known
 
 
+def spoonfuls(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """Texts in lists of some ``chars`` characters (a longer text alone), null as empty."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Regroup the frames of a sorted partition so that no group of equal keys is torn between two of them."""
     held: list[pd.DataFrame] = []

@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.helpers import WordCache, partitions_for, process_store
+from orrery.llm.helpers import WordCache, partitions_for, process_store, spoonfuls
 
 MAGIC = b"ORTOK001"
 FOOTER = "<8sQQQI"  # magic, dictionary hash, start of the index, documents, bytes per id
@@ -35,7 +38,7 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1024, 4096, 64 << 10
 
 
 def word_encoder(tokenizer_path: str):
-    """Text to ids, as little-endian bytes, by the tokenizers library, with a memo per word.
+    """Texts to ids, as little-endian bytes, by the tokenizers library, with a memo per word.
 
     The tokenizer drops white space and no rule of it looks across a space, so the ids of a text are the ids of its
     space-separated words in turn; each distinct word is encoded once and remembered by the worker.
@@ -48,25 +51,58 @@ def word_encoder(tokenizer_path: str):
         loaded[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
     tokenizer = loaded[tokenizer_path]
 
+    def encoded(pieces: list[str]) -> list[bytes]:
+        plain = [p for p in pieces if is_plain(p)]
+        found = {p: array("I", [t.id for t in tokenizer.model.tokenize(byte_symbols(p))]).tobytes() for p in plain}
+        other = [p for p in pieces if p not in found]
+        for at in range(0, len(other), 5000):
+            batch = tokenizer.encode_batch_fast(other[at : at + 5000], add_special_tokens=False)
+            found.update((p, array("I", e.ids).tobytes()) for p, e in zip(other[at : at + 5000], batch))
+        return [found[p] for p in pieces]
+
+    cores = WordCache(f"core ids {tokenizer_path}", encoded)
+
     def many(words: list[str]) -> list[bytes]:
-        found = []
-        for at in range(0, len(words), 5000):
-            batch = tokenizer.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)
-            found += [np.array(e.ids, "<u4").tobytes() for e in batch]
-        return found
+        parts = [core_and_tail(w) for w in words]
+        known = cores.learn([x for p in parts for x in p])
+        return [known[core] + known[tail] for core, tail in parts]
 
     cache = WordCache(f"ids {tokenizer_path}", many)
 
-    def encode(text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(cache.known.__getitem__, words))
-        except KeyError:
-            return b"".join(map(cache.learn(words).__getitem__, words))
+    def encode(texts: Iterable[str | None]) -> Iterator[bytes]:
+        for some in spoonfuls(texts):
+            split = [t.replace("\n", " ").split(" ") for t in some]
+            known = cache.learn(chain.from_iterable(split)).__getitem__
+            yield from [b"".join(map(known, words)) for words in split]
 
     return encode
 
 
+def core_and_tail(word: str) -> tuple[str, str]:
+    """A word of letters in lower case and the punctuation behind it, which the tokenizer parts as well; others as they are."""
+    core = word.rstrip(".,;:!?|")
+    if not core.isalpha():
+        return word, ""
+    if core.isascii():
+        return core.lower(), word[len(core) :]
+    low = "".join([c.lower() for c in core])
+    return low if is_plain(low) else core, word[len(core) :]
+
+
+def is_plain(word: str) -> bool:
+    """Lower-case Latin letters, composed: the tokenizer's rules for text leave such a word as it is."""
+    return word.isalpha() and word.islower() and (word.isascii() or (max(word) < "\u0250" and is_normalized("NFC", word)))
+
+
+# Byte-level vocabularies write a byte as a printable character: itself, or the next one from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def byte_symbols(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(SYMBOLS)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
     """Dictionary from the id arrays of a bounded sample; empty where the sample is too small to train on."""
     sample = (
@@ -80,7 +116,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_encoder(tokenizer_path)
         for frame in frames:
-            yield pd.DataFrame({"ids": [encode(t)[: 4 * SAMPLE_IDS] for t in frame["text"]]})
+            yield pd.DataFrame({"ids": [ids[: 4 * SAMPLE_IDS] for ids in encode(frame["text"])]})
 
     arrays = [bytes(r.ids) for r in sample.mapInPandas(encoded, "ids binary").collect()]
     arrays = [packed(a + struct.pack("<I", end_id), id_bytes(tokenizer_path, end_id)) for a in arrays]
@@ -146,8 +182,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
         index: list[tuple] = []
         size = number = part = 0
         for batch in batches:
-            for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["_part"]):
-                ids = encode(text) + end
+            for doc_id, part, ids in zip(batch["doc_id"], batch["_part"], encode(batch["text"])):
+                ids += end
                 frame = press.compress(packed(ids, width))
                 has = not pd.isna(doc_id)
                 index.append((int(doc_id) if has else 0, has, size, len(frame), len(ids) // 4))

@@ -17,6 +17,7 @@ ODD = [
     " ́accent é ﬁ ½ ⅷ 12 345",
     "<|endoftext|> a<|startoftext|>b <|endof text|>",
     "日本語 テキスト 👩‍👩‍👧 🇩🇪",
+    "Ça CÔTÉ, ªº ĳ ŉ ǆ ß ẞ ñandú. Ünß!? ÿ ſ e\u0301t\u00e9 \u0149 K \u212b word's. a., b.|, '.",
     "\r\n\n\n leading and trailing \n",
     "x" * 20_000,
 ]
