@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from orrery.llm.helpers import partitions_for
-
 WINDOW = 13
-BLOCKS_PER_PARTITION = 4
+# A block holds some 8 MB of text; beyond 1024 blocks they grow up to 64 MB.
+LEAST_BLOCK, MOST_BLOCK = 8 << 20, 64 << 20
 FACTOR = 0x9E3779B97F4A7C15
 KNOWN_WORDS = 400_000
 
@@ -107,9 +106,14 @@ def bucket_bounds(distinct: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(distinct, marks), [len(distinct)]))
 
 
-def deal(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, doc_id, text): ranges of doc_id with about the same number of rows; nulls form the last block."""
+def block_count(text_bytes: int) -> int:
+    return max(1, -(-text_bytes // min(MOST_BLOCK, max(LEAST_BLOCK, text_bytes // 1024))))
+
+
+def deal(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(block, doc_id, text): ranges of doc_id with about the same number of rows, nulls in the last; and their number."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    blocks = block_count(docs.select(F.sum(F.octet_length("text"))).first()[0] or 0)
     shares = [i / blocks for i in range(1, blocks)]
     found = docs.select(F.percentile_approx("doc_id", shares or [0.5], max(10_000, 20 * blocks))).first()[0]
     marks = np.array(sorted(set(found or []))[: blocks - 1], np.int64)
@@ -119,7 +123,7 @@ def deal(docs: DataFrame, blocks: int) -> DataFrame:
         numbers = np.searchsorted(marks, ids.fillna(0).to_numpy(np.int64), "left").astype(np.int32)
         return pd.Series(np.where(ids.isna(), len(marks) + 1, numbers))
 
-    return docs.withColumn("block", block("doc_id")).select("block", "doc_id", "text")
+    return docs.withColumn("block", block("doc_id")).select("block", "doc_id", "text"), blocks
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -128,9 +132,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     A path is (first word, edges, source block, source place): ``edges`` windows from ``first`` on repeat those from the
     source place on. ``first_place`` is the place of the document's first edge in its block.
     """
-    blocks = BLOCKS_PER_PARTITION * partitions_for(docs)
-    bits = max(0, int(blocks - 1).bit_length())
-    dealt = deal(docs, blocks)
+    dealt, blocks = deal(docs)
+    bits = (blocks - 1).bit_length()
 
     def ship(frame: pd.DataFrame) -> pd.DataFrame:
         number = int(frame["block"].iloc[0])

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from orrery.llm import debruijn, queries
 
 K = debruijn.WINDOW
@@ -44,7 +46,10 @@ def rows():
     return out
 
 
-def test_against_plain_windows(spark, tmp_path):
+@pytest.mark.parametrize("block", [debruijn.LEAST_BLOCK, 3000])
+def test_against_plain_windows(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(debruijn, "LEAST_BLOCK", block)
+    monkeypatch.setattr(debruijn, "MOST_BLOCK", 5 * block)
     cases = rows()
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in cases], "doc_id long, text string, block int, kept string")
     df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
@@ -52,7 +57,8 @@ def test_against_plain_windows(spark, tmp_path):
     assert sorted(map(tuple, found.collect()), key=repr) == brute(cases)
 
 
-def test_spans_name_their_source(spark):
+def test_spans_name_their_source(spark, monkeypatch):
+    monkeypatch.setattr(debruijn, "LEAST_BLOCK", 3000)
     cases = [(d, t) for d, t in rows() if d is not None and d != 401]
     df = spark.createDataFrame(cases, "doc_id long, text string").repartition(3)
     spans = debruijn.repeated_spans(debruijn.repeated_passages(df)).collect()
