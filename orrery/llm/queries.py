@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bitslice, debruijn, fmindex, simhash, token_files
+from orrery.llm import bitslice, debruijn, fmindex, langid, pieces, simhash, token_files
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -80,3 +80,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat a passage of a document with a smaller id."""
     found = debruijn.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op2_pieces")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether decoding gives its text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.tokenise(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARKER), F.lit(" "))
+    return found.select("doc_id", "n_pieces", "n_bytes", F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == plain).alias("round_trip"))
