@@ -57,7 +57,9 @@ class Grams:
         # One blank between words and at both ends.
         keep = filled.copy()
         keep[1:] |= filled[:-1]
-        points = np.concatenate(([np.uint64(0)], points[keep], [np.uint64(0)]))
+        points = points[keep]
+        blank = np.zeros(1, np.uint64)
+        points = np.concatenate((blank, points, blank[: int(points[-1] != 0)]))
         code = np.zeros(len(points), np.uint64)
         codes = []
         for n, factor in enumerate(FACTORS):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bitslice, debruijn, fmindex, langid, pieces, simhash, token_files
+from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pieces, simhash, token_files
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -97,3 +97,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.tokenise(docs, public_tokenizers.path("piece_bpe_32k.model"))
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARKER), F.lit(" "))
     return found.select("doc_id", "n_pieces", "n_bytes", F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == plain).alias("round_trip"))
+
+
+@query("op8_edited_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits drawn from its id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = edits.drawn_edits(F.col("doc_id"), F.col("text"), 3)
+    found = edits.count_edited(docs, drawn, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", "n_after", "n_segments", "n_recounted", F.crc32(F.col("edited").cast("binary")).alias("edited_crc32"))
