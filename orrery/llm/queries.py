@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pieces, simhash, token_files
+from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, simhash, token_files
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -106,3 +106,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = edits.drawn_edits(F.col("doc_id"), F.col("text"), 3)
     found = edits.count_edited(docs, drawn, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", "n_after", "n_segments", "n_recounted", F.crc32(F.col("edited").cast("binary")).alias("edited_crc32"))
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = pagediff.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -45,7 +45,7 @@ def test_kernel_is_the_shared_share():
 
 def test_odd_input(spark):
     known = [(i, f"{w} " * (1 + i % 7), lang) for i, (w, lang) in enumerate([("hello there", "en"), ("guten tag", "de")] * 40)]
-    odd = [(900, None, "en"), (901, "", None), (902, "12 -- !", "de"), (903, "guten", None), (903, "guten", None), (None, "hello", None), (904, "hello " * 20_000, "de")]
+    odd = [(900, None, "en"), (901, "", None), (902, "12 -- !", "de"), (903, "guten", None), (903, "guten", None), (None, "hello", None), (904, "hello " * 20_000, None)]
     docs = spark.createDataFrame([(d, t, x, "en", 0.5) for d, t, x in known + odd], "doc_id long, text string, lang string, lang_pred string, source double")
     found = {}
     for r in langid.identify(docs, langid.train(docs)).collect():
