@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, simhash, token_files
+from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, secrets_forest, simhash, token_files
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -113,3 +113,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = pagediff.main_texts(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets_forest.find_secrets(docs, secrets_forest.train(docs))
+    places = F.transform("secrets", lambda s: F.concat_ws("-", s["first"].cast("string"), s["after"].cast("string")))
+    return found.select(
+        "doc_id",
+        "n_candidates",
+        F.size("secrets").cast("bigint").alias("n_secrets"),
+        F.array_join(places, ",").alias("places"),
+        F.crc32(F.col("redacted").cast("binary")).alias("redacted_crc32"),
+    )
