@@ -62,14 +62,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): fp holds the 64 bits as a signed long."""
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = np.array([fingerprint(t) for t in frame["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_hash": frame["text_hash"], "fp": fps})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(marked, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return read.mapInPandas(marked, "doc_id long, text_hash long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -146,14 +147,24 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that can be reached over linked fingerprints."""
+    """(doc_id, text_hash, fp, root, component_id): the group's root fingerprint, and the smallest doc_id in the group."""
     marked = stored(fingerprints(docs), "fingerprints")
     folded = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "folded")
     roots = components(fingerprint_links(folded.select("fp")), "a", "b")
     rooted = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of every group: the one with the smallest doc_id (numbers before null, then the smaller hash of its text)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("_first")).select("_first.*")
+    first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    return own.join(first, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
 
 
 def hex16(fp: str = "fp"):
