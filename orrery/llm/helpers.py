@@ -37,7 +37,7 @@ class WordCache:
     ``encode_many`` gets a list of distinct pieces and returns their encodings in the same order.
     """
 
-    def __init__(self, name: str, encode_many: Callable[[list], Iterable], limit: int = 400_000):
+    def __init__(self, name: str, encode_many: Callable[[list], Iterable], limit: int = 600_000):
         self.known = process_store(name)
         self.encode_many = encode_many
         self.limit = limit

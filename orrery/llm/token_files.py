@@ -71,13 +71,21 @@ def word_encoder(tokenizer_path: str):
 
     def encode(texts: Iterable[str | None]) -> Iterator[bytes]:
         for some in spoonfuls(texts):
-            split = [t.replace("\n", " ").split(" ") for t in some]
+            split = [lowered(t).replace("\n", " ").split(" ") for t in some]
             known = cache.learn(chain.from_iterable(split)).__getitem__
             yield from [b"".join(map(known, words)) for words in split]
 
     return encode
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, where that is certain to be what the tokenizer makes of it; else as it is."""
+    if "<|" in text or "Σ" in text:
+        return text
+    low = text.lower()
+    return low if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
+
 def core_and_tail(word: str) -> tuple[str, str]:
     """A word of letters in lower case and the punctuation behind it, which the tokenizer parts as well; others as they are."""
     core = word.rstrip(".,;:!?|")

@@ -18,6 +18,8 @@ ODD = [
     "<|endoftext|> a<|startoftext|>b <|endof text|>",
     "日本語 テキスト 👩‍👩‍👧 🇩🇪",
     "Ça CÔTÉ, ªº ĳ ŉ ǆ ß ẞ ñandú. Ünß!? ÿ ſ e\u0301t\u00e9 \u0149 K \u212b word's. a., b.|, '.",
+    "J\u030c ǰ H\u0331 T\u0308 W\u030a A\u02be \u212a\u0327 Ǆ ǅ",
+    "<|ENDOFTEXT|> <|StartOfText|>",
     "\r\n\n\n leading and trailing \n",
     "x" * 20_000,
 ]
