@@ -45,10 +45,11 @@ def jn03(t):
 
 @query(
     "jn04_unseen_papers",
-    sql=f"select refcode, p_name from {SQL_PAPERS} where refcode not in (select refcode from {SQL_EDGES})",
+    sql=f"select refcode, p_name from {SQL_PAPERS} where refcode not in (select refcode from {SQL_EDGES} where objid = 'Supplier#000000003')",
 )
 def jn04(t):
-    return E.unseen(t.papers().select("refcode", "p_name"), t.edges(), "refcode")
+    """Papers that one object is not linked to."""
+    return E.unseen(t.papers().select("refcode", "p_name"), t.edges().filter("objid = 'Supplier#000000003'"), "refcode")
 
 
 @query(

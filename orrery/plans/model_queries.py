@@ -16,9 +16,6 @@ from orrery.plans.registry import query
 from orrery.plans.tables import SQL_EDGE_KEYS, SQL_EDGES, SQL_OBJECTS, SQL_REFCODE, refcode
 from orrery.session import cut_lineage, fresh_path
 
-# Iterations of the pair classifier in the registered queries; the function's default is the published setting.
-NET_ITERATIONS = 60
-
 
 def _object_components(t, k=15):
     """Suppliers as objects: balance, position and one-hot nation, projected."""
@@ -37,10 +34,9 @@ def _papers(t):
     )
 
 
-def _paper_components(t, k=8):
-    """Parts as papers: their tag cells, projected."""
-    cells = _papers(t).select("refcode", F.explode("keywords").alias("feature"), F.lit(1.0).alias("value")).distinct()
-    _, scores = PR.sparse_pca(cells, _papers(t).select("refcode"), "refcode", "feature", "value", k)
+def _paper_components(t, k=35):
+    """Parts as papers: the article matrix, projected."""
+    _, scores = PR.sparse_pca(EN.article_cells(_papers(t)), _papers(t).select("refcode"), "refcode", "feature", "value", k)
     return scores
 
 
@@ -55,7 +51,8 @@ def jn06(t):
 
 @query(
     "jn06_pair_counts",
-    sql=f"select objid, count(*) as positives, 3 * count(*) as negatives from {SQL_EDGES} group by objid",
+    sql=f"""select objid, count(*) as positives, least(3 * count(*), (select count(*) from part) - count(*)) as negatives
+ from {SQL_EDGES} group by objid""",
 )
 def jn06_counts(t):
     pairs = RC.sample_pairs(t.edges(), t.papers()).distinct()
@@ -81,15 +78,13 @@ def ml01_vectors(t):
 
 @query("ml01_article_components")
 def ml01_articles(t):
-    cells = EN.article_cells(_papers(t))
-    _, scores = PR.sparse_pca(cells, _papers(t).select("refcode"), "refcode", "feature", "value", 35)
-    return scores
+    return _paper_components(t)
 
 
 def _trained(t):
     objects, papers = cut_lineage(_object_components(t)), cut_lineage(_paper_components(t))
     pairs = cut_lineage(RC.pair_features(RC.sample_pairs(t.edges(), t.papers()), objects, papers))
-    model, held_out = RC.fit_pair_classifier(pairs, max_iter=NET_ITERATIONS)
+    model, held_out = RC.fit_pair_classifier(pairs)
     return objects, papers, model, held_out
 
 
@@ -188,7 +183,7 @@ def _rows(t):
 
 @query(
     "ml08_full_rank",
-    sql=f"""with c as (select l_partkey as p_partkey, s_nationkey, count(distinct l_suppkey) as v from lineitem join supplier on s_suppkey = l_suppkey where l_linenumber = 1 and l_returnflag = 'R' group by all)
+    sql=f"""with c as (select l_partkey as p_partkey, s_nationkey, count(distinct l_suppkey) as v from lineitem join supplier on s_suppkey = l_suppkey group by all)
  select p_partkey, round(sum(v)::double, 4) as total, round(sum(v * v)::double, 4) as squares from c group by 1""",
 )
 def ml08(t):
@@ -269,7 +264,7 @@ def ml13_sample(t):
 
 
 def _model(t):
-    return RC.build(cut_lineage(_object_components(t)), cut_lineage(_paper_components(t)), t.edges(), _groups(t), max_iter=NET_ITERATIONS)
+    return RC.build(cut_lineage(_object_components(t)), cut_lineage(_paper_components(t)), t.edges(), _groups(t))
 
 
 def _first_objects(t, n=3):
@@ -309,13 +304,12 @@ def ml15(t):
     objects, edges = cut_lineage(objects.filter("objid <> ''").distinct()), cut_lineage(edges)
     model = PR.fit_pca(objects, ["ra", "dec", *bands], 5)
     components = cut_lineage(PR.project(model, objects, ["objid", "seq"]))
-    _, papers = PR.sparse_pca(EN.article_cells(_papers(t)), _papers(t).select("refcode"), "refcode", "feature", "value", 35)
-    papers = cut_lineage(papers)
+    papers = cut_lineage(_paper_components(t))
     dims = [f"x{i}" for i in range(5)]
     placed = components.select("objid", "seq", *[F.get("pc", F.lit(i)).alias(d) for i, d in enumerate(dims)])
     radius = CL.choose_radius(CL.radius_candidates(placed, "seq", dims)).first()["eps"] or CL.median_distance(placed, "seq", dims)
     groups = cut_lineage(CL.dbscan(placed, "seq", dims, radius).join(components.select("objid", "seq"), "seq").select("objid", F.col("label").alias("cluster")))
-    bundle = RC.build(components.select("objid", "pc"), papers, edges, groups, max_iter=NET_ITERATIONS)
+    bundle = RC.build(components.select("objid", "pc"), papers, edges, groups)
     wanted = [r["objid"] for r in RC.sample_objects(objects, 100).collect()]
     asked = edges.filter(F.col("objid").isin(wanted))
     return describe(RC.evaluate(RC.vote(bundle.scored(wanted), 20), asked), ["precision", "recall", "f1"])

@@ -1,4 +1,4 @@
-"""ST*: A/B statistics on the events, views as variant a and clicks as variant b."""
+"""ST*: A/B statistics on the events, in two variants by event number."""
 
 from __future__ import annotations
 

@@ -34,12 +34,8 @@ class Tables:
         return self.part.select(refcode(F.col("p_partkey"), F.col("p_brand")).alias("refcode"), "*")
 
     def edge_keys(self) -> DataFrame:
-        """Distinct (s_suppkey, p_partkey) pairs: the object-paper edges on the raw keys."""
-        return (
-            self.lineitem.filter((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"))
-            .select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
-            .distinct()
-        )
+        """Distinct (s_suppkey, p_partkey) pairs of all line items: the object-paper edges on the raw keys."""
+        return self.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey")).distinct()
 
     def edges(self) -> DataFrame:
         """(objid, refcode) edges."""
@@ -71,10 +67,10 @@ class Tables:
         )
 
     def ab(self) -> DataFrame:
-        """(experiment, variant, value): views are A, clicks are B, ten experiments by user."""
-        return self.events.filter(F.col("event_type").isin("view", "click")).select(
+        """(experiment, variant, value): ten experiments by user, every event in the variant that its number gives."""
+        return self.events.select(
             F.pmod("user_id", F.lit(10)).alias("experiment"),
-            F.when(F.col("event_type") == "view", "A").otherwise("B").alias("variant"),
+            F.when(F.pmod("event_id", F.lit(2)) == 0, "A").otherwise("B").alias("variant"),
             "event_id",
             "value",
         )
@@ -100,8 +96,7 @@ def refcode(partkey: Column, brand: Column) -> Column:
 # SQL forms of the same roles, for the twins.
 SQL_OBJECTS = """(select s_suppkey as seq, s_name as objid, ((s_suppkey*37) % 360)::double as ra,
  (((s_suppkey*17) % 180) - 90)::double as "dec", s_nationkey, s_acctbal from supplier)"""
-SQL_EDGE_KEYS = """(select distinct l_suppkey as s_suppkey, l_partkey as p_partkey from lineitem
- where l_linenumber = 1 and l_returnflag = 'R')"""
+SQL_EDGE_KEYS = "(select distinct l_suppkey as s_suppkey, l_partkey as p_partkey from lineitem)"
 SQL_REFCODE = "lpad(p_partkey::varchar, 8, '0') || p_brand"
 SQL_EDGES = f"""(select s_name as objid, {SQL_REFCODE} as refcode from {SQL_EDGE_KEYS} k
  join part using (p_partkey) join supplier using (s_suppkey))"""
@@ -112,5 +107,5 @@ SQL_BANDS = (
 )
 SQL_MEASURES = """(select l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount,
  case when l_orderkey % 7 <> 0 then l_tax end as l_tax from lineitem)"""
-SQL_AB = """(select user_id % 10 as experiment, case when event_type = 'view' then 'A' else 'B' end as variant,
- event_id, value from events where event_type in ('view', 'click'))"""
+SQL_AB = """(select user_id % 10 as experiment, case when event_id % 2 = 0 then 'A' else 'B' end as variant,
+ event_id, value from events)"""

@@ -53,11 +53,13 @@ def _sql_clean_tags() -> str:
         "where not (contains(x, 'and') and contains(x, 'more'))"
     )
     chain = "x"
-    for old, new in W.TAG_CONTAINS:
+    rules = TG.TagRules()
+    for old, new in rules.contains:
         chain = f"replace({chain}, '{q(old)}', '{q(new)}')"
     body = f"select raw, {chain} as x from ({body}) where length(x) > 3"
-    for old, new in W.TAG_PREFIXES:
-        body = f"select raw, regexp_replace(x, '(?s)^{q(old)}.*', '{q(new)}') as x from ({body})"
+    prefixes = ", ".join(f"'{q(old)}|{q(new)}'" for old, new in rules.prefixes)
+    step = "case when starts_with(x, split_part(r, '|', 1)) then split_part(r, '|', 2) else x end"
+    body = f"select raw, list_reduce(list_prepend(x, [{prefixes}]), lambda x, r: {step}) as x from ({body})"
     ignore = ", ".join(f"'{q(i)}'" for i in W.TAG_IGNORE)
     return f"(select raw, x as tag from ({body}) where x not in ({ignore}))"
 

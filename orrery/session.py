@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# A side is broadcast only after its rows were counted and found at or below this bound.
-BROADCAST_ROW_LIMIT = 1_000_000
+# A side is broadcast only where its estimated size in bytes is at or below this bound.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "orrery") -> SparkSession:
@@ -57,9 +57,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only when the counted rows fit the bound; otherwise leave the join to shuffle.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where the planner's own estimate of the side, in bytes, fits the bound; no job is run.
 
-    The count stops at the bound, so it never reads a large side to the end.
+    Beyond the bound the join is left to shuffle, and to adaptive execution.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(estimate)) <= limit else df

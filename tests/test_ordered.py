@@ -169,3 +169,20 @@ def test_two_proportions_agrees_with_directed(spark):
     row = spark.createDataFrame([(100, 30, 120, 48)], "n_a bigint, success_a bigint, n_b bigint, success_b bigint")
     two, way = ST.two_proportions(row).first(), ST.directed_proportions(row).first()
     assert abs(way["z"]) == pytest.approx(two["z"]) and two["p_value"] == pytest.approx(2 * way["p_value"])
+
+
+@pytest.mark.parametrize("n", [50, 5000])
+def test_missing_positions_have_no_neighbour(spark, n):
+    df = spark.range(n).select(
+        F.concat(F.lit("o"), "id").alias("objid"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 10 != 3, F.rand(5) * 360).alias("ra"), F.when(F.col("id") % 15 != 0, F.rand(6) * 90).alias("dec"),
+    ).cache()
+    got = {r["seq"]: r for r in nearest_other(df.filter("seq % 5 = 0"), df.filter("seq % 5 <> 0"), "objid", [F.col("ra"), F.col("dec")], "seq").collect()}
+    rows = {r["seq"]: (r["ra"], r["dec"]) for r in df.collect()}
+    assert set(got) == {i for i in rows if i % 5 == 0}
+    there = np.array([rows[i] for i in rows if i % 5 and None not in rows[i]])
+    for i, r in got.items():
+        if None in rows[i]:
+            assert r["nearest"] is None and r["distance"] is None
+        else:
+            assert r["distance"] == pytest.approx(np.linalg.norm(there - np.array(rows[i]), axis=1).min())
