@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.hashing import draw64, poisson_weight, standard_normal
-from orrery.operators.ordered import at_positions, number_rows, quantiles, running_totals, value_counts
+from orrery.functions.hashing import draw64, standard_normal
+from orrery.operators.ordered import BLOCK_ROWS, at_positions, number_rows, quantiles, running_totals, value_counts
 from orrery.session import broadcast_if_small
 
 
@@ -157,21 +157,40 @@ def quantile_permutation(
     return diffs.join(seen, keys).groupBy(*keys, "observed").agg((F.count_if(hit) / trials).alias("p_value"))
 
 
+def _named(df: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 def resampled_means(
     df: DataFrame, keys: Sequence[str], value: str, row_id: str, share: float = 0.2, draws: int = 1000, least: int = 10, seed: int = 17
 ) -> DataFrame:
     """(keys, rep, mean): up to ``draws`` resamples of about ``share`` of the rows, with replacement.
 
-    Each row enters a replicate with a hash-drawn Poisson weight; sums are folded inside the tasks, so the shuffle holds
-    one row per task, key and replicate. Keys with at most ``least`` rows give no replicates.
+    Each row enters a replicate with a Poisson weight, drawn for all replicates at once by a generator that the row's
+    hash seeds. Weights and weighted values are added up inside the tasks: no row is copied, and the shuffle holds one
+    row per task, key and replicate. Keys with at most ``least`` rows give no replicates.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    sized = df.filter(F.col(value).isNotNull()).join(broadcast_if_small(sizes.filter(F.col("_n") > least)), keys)
-    reps = sized.withColumn("rep", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(draws)).cast("int") - 1)))
-    weight = poisson_weight(seed, share, row_id, "rep")
-    drawn = reps.select(*keys, "rep", F.col(value).alias("_v"), weight.alias("_w")).filter("_w > 0")
-    return drawn.groupBy(*keys, "rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"))
+    kept = df.filter(F.col(value).isNotNull())
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least)
+    sized = kept.join(broadcast_if_small(sizes), keys)
+    rows = sized.select(*keys, "_n", F.col(value).cast("double").alias("_v"), draw64(seed, row_id).alias("_draw"))
+
+    def folded(frames):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in frames:
+            for key, part in pdf.groupby([*keys, "_n"], dropna=False, sort=False):
+                total = sums.setdefault(key, np.zeros((2, min(int(key[-1]), draws))))
+                for v, draw in zip(part["_v"].to_numpy(), part["_draw"].to_numpy()):
+                    weight = _rng(int(draw)).poisson(share, total.shape[1])
+                    total[0] += weight
+                    total[1] += weight * v
+        for key, (weights, values) in sums.items():
+            yield pd.DataFrame({**dict(zip(keys, key[:-1])), "rep": np.arange(len(weights)), "_w": weights, "_wv": values})
+
+    parts = rows.mapInPandas(folded, f"{_named(rows, keys)}, rep int, _w double, _wv double")
+    means = parts.groupBy(*keys, "rep").agg(F.sum("_w").alias("_w"), F.sum("_wv").alias("_wv")).filter("_w > 0")
+    return means.select(*keys, "rep", (F.col("_wv") / F.col("_w")).alias("mean"))
 
 
 def mean_differences(
@@ -179,34 +198,34 @@ def mean_differences(
 ) -> DataFrame:
     """(keys, rep, difference): mean of b minus mean of a over equally large samples without replacement.
 
-    Both samples hold min(size, n_a, n_b) distinct positions of the numbered rows: hash draws over the rows with repeats
-    removed, twice as many as needed and 64 more; of groups less than twice the sample the positions to leave out are drawn.
+    Both samples hold min(size, n_a, n_b) distinct positions of the numbered rows. Rows are dealt into blocks of
+    positions; every block draws the positions of all replicates with the same generator, adds up the values of its own,
+    and hands on one sum per replicate. No row is copied, and a hot key spreads over its blocks.
     """
     keys = list(keys)
     group = [*keys, "variant"]
-    numbered = number_rows(df.filter(F.col(value).isNotNull()), group, [row_id])
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count_if(F.col("variant") == "A").alias("A"), F.count_if(F.col("variant") == "B").alias("B")
-    )
-    sizes = sizes.withColumn("_size", F.least("A", "B", F.lit(size)).cast("int")).filter("_size > 0")
-    long = sizes.unpivot([*keys, "_size"], ["A", "B"], "variant", "_n")
-    reps = _replicates(long, trials)
-    n, k = F.col("_n"), F.col("_size")
-    few = F.least(k, n - k).cast("int")  # positions to draw: those to take or those to leave out
-    span = F.sequence(F.lit(1), few * 2 + 64)
-
-    def place(i: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), *group, "rep", i), n)
-
-    some = F.slice(F.array_distinct(F.transform(span, place)), F.lit(1), few)
-    rest = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.least(n, F.lit(2 * size)) - 1), some)
-    positions = F.when(n >= 2 * k, some).otherwise(rest)
-    spots = reps.select(*group, "rep", F.explode(positions).alias("pos"))
-    values = numbered.select(*group, "pos", F.col(value).alias("_v"))
-    means = spots.join(broadcast_if_small(values), [*group, "pos"]).groupBy(*keys, "rep").agg(
-        F.avg(F.when(F.col("variant") == "A", F.col("_v"))).alias("_a"), F.avg(F.when(F.col("variant") == "B", F.col("_v"))).alias("_b")
+    present = df.filter(F.col(value).isNotNull() & F.col("variant").isin("A", "B"))
+    sizes = present.groupBy(*keys).agg(F.count_if(F.col("variant") == "A").alias("A"), F.count_if(F.col("variant") == "B").alias("B"))
+    sizes = sizes.select(*keys, F.least("A", "B", F.lit(size)).cast("int").alias("_size")).filter("_size > 0")
+    numbered = number_rows(present.select(*group, row_id, F.col(value).cast("double").alias("_v")), group, [row_id])
+    dealt = numbered.join(broadcast_if_small(sizes), keys).select(
+        *group, "_size", "_v", "pos", F.col("pos_total").alias("_n"), F.floor(F.col("pos") / BLOCK_ROWS).alias("_block"), draw64(seed, *group).alias("_draw")
     )
-    return means.select(*keys, "rep", (F.col("_b") - F.col("_a")).alias("difference"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        pdf = pdf.sort_values("pos")
+        low, values = int(pdf["pos"].iloc[0]), pdf["_v"].to_numpy()
+        rng = _rng(int(first["_draw"]))
+        out = np.zeros(trials)
+        for rep in range(trials):
+            places = rng.choice(int(first["_n"]), int(first["_size"]), replace=False, shuffle=False) - low
+            out[rep] = values[places[(places >= 0) & (places < len(values))]].sum()
+        return pd.DataFrame({**{g: first[g] for g in group}, "rep": np.arange(trials), "_mean": out / first["_size"]})
+
+    parts = dealt.groupBy(*group, "_block").applyInPandas(sums, f"{_named(dealt, group)}, rep int, _mean double")
+    signed = F.when(F.col("variant") == "B", F.col("_mean")).otherwise(-F.col("_mean"))
+    return parts.groupBy(*keys, "rep").agg(F.sum(signed).alias("difference"))
 
 
 def jitter(df: DataFrame, keys: Sequence[str], value: str, row_id: str, seed: int = 17) -> DataFrame:

@@ -131,7 +131,7 @@ def ml04_noise(t):
 @query("ml05_radius_candidates")
 def ml05_search(t):
     points = t.objects().select("seq", F.col("ra").alias("x"), F.col("dec").alias("y"))
-    return CL.radius_candidates(points, "seq", ["x", "y"], min_samples=3)
+    return CL.radius_candidates(points, "seq", ["x", "y"])
 
 
 _SQL_CANDIDATES = """(select user_id / 100 as eps, count(*) % 25 + 1 as nclusters, count(*) filter (event_type = 'error') % 6 as noise, 1 / (count(*) % 25 + 1) as distribution from events group by user_id)"""
@@ -279,7 +279,13 @@ def ml14(t):
     return RC.recommendation_table(given, t.objects(), _papers(t).select("refcode", "title", "description", "link", "p_partkey"), "p_partkey")
 
 
-@query("snk03_model_bundle")
+@query(
+    "snk03_model_bundle",
+    sql=f"""with e as (select * from {SQL_EDGE_KEYS}), r as (select distinct s_nationkey, p_partkey from e join supplier using (s_suppkey))
+ select 'objects' as part, count(*) as n from supplier union all select 'papers', count(*) from part union all select 'edges', count(*) from e
+ union all select 'groups', count(*) from supplier union all select 'ratings', count(*) from r
+ union all select 'scores', count(distinct s_nationkey) * count(distinct p_partkey) from r""",
+)
 def snk03(t):
     path = fresh_path(t.spark, "model")
     _model(t).save(path)
@@ -382,7 +388,11 @@ def lm06(t):
     return t.spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, feature string")
 
 
-@query("dd08_ingest_stream")
+@query(
+    "dd08_ingest_stream",
+    sql="""select o_custkey, o_orderkey, o_orderstatus, o_totalprice from orders
+ qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1""",
+)
 def dd08_stream(t):
     from orrery.streaming.ingest import run_available
 

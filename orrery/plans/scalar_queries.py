@@ -266,7 +266,7 @@ def fn15(t):
 
 @query("fn16_drop_columns", sql="select o_orderkey, o_custkey, o_totalprice from orders")
 def fn16(t):
-    return S.drop_columns_containing(t.orders, "date", "order" + "status", "priority")
+    return S.drop_columns_containing(t.orders, "date", "orderstatus", "priority")
 
 
 @query("fn17_numeric_categorical", sql="select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_quantity from lineitem")

@@ -266,8 +266,23 @@ def st19(t):
 
 @query("st20_mean_differences")
 def st20(t):
-    all_users = t.ab().withColumn("experiment", F.lit(0))
-    return RS.mean_differences(all_users, KEY, "value", "event_id")
+    return RS.mean_differences(t.ab(), KEY, "value", "event_id")
+
+
+@query("st20_replicates", sql=f"select distinct experiment, r::int as rep from {SQL_AB}, range(10000) n(r)")
+def st20_replicates(t):
+    """Which replicates there are."""
+    return RS.mean_differences(t.ab(), KEY, "value", "event_id").filter("difference is not null").select("experiment", "rep")
+
+
+@query(
+    "st19_replicates",
+    sql=f"select experiment, variant, least(count(value), 1000) as replicates from {SQL_AB} group by all having count(value) > 10",
+)
+def st19_replicates(t):
+    """How many replicates each group has."""
+    means = RS.resampled_means(t.ab(), ["experiment", "variant"], "value", "event_id")
+    return means.groupBy("experiment", "variant").agg(F.count("mean").alias("replicates"))
 
 
 _SQL_DIFF = f"(select experiment, value - 50 as d from {SQL_AB})"

@@ -123,6 +123,22 @@ def test_resampled_means_refuse_small_groups(spark):
     assert [r["k"] for r in got] == [2]
 
 
+def test_resamples_have_the_spread_of_draws(spark, monkeypatch):
+    monkeypatch.setattr(RS, "BLOCK_ROWS", 150)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(5, 2, 600), rng.normal(6, 3, 500)
+    rows = [("A", float(v), i) for i, v in enumerate(a)] + [("B", float(v), 9000 + i) for i, v in enumerate(b)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "k int, variant string, v double, id bigint").repartition(5)
+    diff = np.array([r["difference"] for r in RS.mean_differences(df, ["k"], "v", "id", trials=1500, size=100).collect()])
+    expected = np.sqrt(a.var() / 100 * (1 - 100 / 600) + b.var() / 100 * (1 - 100 / 500))
+    assert diff.mean() == pytest.approx(b.mean() - a.mean(), abs=4 * expected / np.sqrt(1500)) and diff.std() == pytest.approx(expected, rel=0.1)
+    means = {}
+    for r in RS.resampled_means(df, ["variant"], "v", "id").collect():
+        means.setdefault(r["variant"], []).append(r["mean"])
+    assert [len(means["A"]), len(means["B"])] == [600, 500]
+    assert np.std(means["A"]) == pytest.approx(a.std() / np.sqrt(0.2 * 600), rel=0.15) and np.mean(means["A"]) == pytest.approx(a.mean(), abs=0.1)
+
+
 def test_kendall_and_spearman_against_pairs(spark):
     rng = np.random.default_rng(6)
     x, y = rng.integers(0, 9, 120), rng.integers(0, 7, 120)
