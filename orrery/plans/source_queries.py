@@ -34,15 +34,17 @@ def _grouped_json(t):
 @query("src02_json", sql=_SQL_ORDERS)
 def src02(t):
     path = fresh_path(t.spark, "orders-json")
-    _grouped_json(t).write.partitionBy("grp").text(path)
-    return FS.read_json(t.spark, path, ORDER_COLUMNS).select(*[c.split()[0] for c in ORDER_COLUMNS.split(", ")])
+    # Several arrays per file, one a line: the number of files follows the tasks, not the rows.
+    _grouped_json(t).select("value").write.text(path)
+    return FS.read_json(t.spark, path, ORDER_COLUMNS, multi_line=False).select(*[c.split()[0] for c in ORDER_COLUMNS.split(", ")])
 
 
 @query("src03_api_payload", sql=_SQL_ORDERS)
 def src03(t):
+    """Every group is an answer, and every second one is followed by an empty answer."""
     payload = F.concat(F.lit('[{"page": 1, "total": 9}, '), "value", F.lit("]"))
-    empty = F.when(F.col("grp") == -1, "[]")
-    return FS.api_rows(_grouped_json(t).select(F.coalesce(empty, payload).alias("payload")), "payload", ORDER_COLUMNS.replace(" BIGINT", ": BIGINT").replace(" STRING", ": STRING").replace(" DOUBLE", ": DOUBLE"))
+    answers = F.when(F.col("grp") % 2 == 0, F.array(payload, F.lit("[]"))).otherwise(F.array(payload))
+    return FS.api_rows(_grouped_json(t).select(F.explode(answers).alias("payload")), "payload", ORDER_COLUMNS.replace(" BIGINT", ": BIGINT").replace(" STRING", ": STRING").replace(" DOUBLE", ": DOUBLE"))
 
 
 @query(
