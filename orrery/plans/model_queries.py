@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.functions.scalars import collapse_blanks
 from orrery.operators import cluster as CL
 from orrery.operators import encode as EN
 from orrery.operators import factorise as FA
@@ -17,13 +18,21 @@ from orrery.plans.tables import SQL_EDGE_KEYS, SQL_EDGES, SQL_OBJECTS, SQL_REFCO
 from orrery.session import cut_lineage, fresh_path
 
 
-def _object_components(t, k=15):
-    """Suppliers as objects: balance, position and one-hot nation, projected."""
-    frame = EN.one_hot(
+def _object_frame(t):
+    """Suppliers as objects: balance, position and one-hot nation."""
+    return EN.one_hot(
         t.objects().withColumn("nation", F.col("s_nationkey").cast("string")), ["nation"], keep=["objid", "seq", "s_acctbal", "ra", "dec"]
     )
-    columns = [c for c in frame.columns if c not in ("objid", "seq")]
-    return PR.project(PR.fit_pca(frame, columns, min(k, len(columns))), frame, ["objid"])
+
+
+def _object_projection(t, k=15):
+    frame = _object_frame(t)
+    return PR.fit_filled(frame, [c for c in frame.columns if c not in ("objid", "seq")], k)
+
+
+def _object_components(t, k=15):
+    """The objects, projected."""
+    return _object_projection(t, k).project(_object_frame(t), ["objid"])
 
 
 def _papers(t):
@@ -235,13 +244,13 @@ def ml11(t):
 
 @query(
     "ml12_place_new_objects",
-    sql="""with n as (select vec_id as new_id, embedding as e from embeddings where vec_id % 10 = 0 and vec_id < 50),
+    sql="""with n as (select vec_id as new_id, embedding as e from embeddings where vec_id % 10 = 0),
  d as (select n.new_id, k.vec_id, k.label, sqrt(list_sum(list_transform(list_zip(n.e, k.embedding), lambda p: pow(p[1]::double - p[2]::double, 2)))) as dist from n, embeddings k where k.vec_id % 10 <> 0)
  select new_id::varchar as objid, arg_min(label, dist) as cluster, round(min(dist), 5) as distance from d group by 1""",
 )
 def ml12(t):
     vectors = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("pc"), F.col("label").alias("cluster"))
-    new = [(str(r["vec_id"]), r["pc"]) for r in vectors.filter("vec_id % 10 = 0 and vec_id < 50").collect()]
+    new = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("objid"), "pc")
     known = vectors.filter("vec_id % 10 <> 0").select(F.col("vec_id").cast("string").alias("objid"), "pc", "cluster")
     return RC.place_new_objects(known, new).withColumn("distance", F.round("distance", 5))
 
@@ -264,19 +273,30 @@ def ml13_sample(t):
 
 
 def _model(t):
-    return RC.build(cut_lineage(_object_components(t)), cut_lineage(_paper_components(t)), t.edges(), _groups(t))
+    projection = _object_projection(t)
+    objects = cut_lineage(projection.project(_object_frame(t), ["objid"]))
+    return RC.build(objects, cut_lineage(_paper_components(t)), t.edges(), _groups(t), projection=projection)
 
 
-def _first_objects(t, n=3):
-    return [r["objid"] for r in t.objects().orderBy("seq").limit(n).collect()]
+def _requests(t):
+    """One known object and one customer, who is a new object, of every nation; a new one's balance is not known."""
+    known = t.supplier.groupBy("s_nationkey").agg(F.min("s_name").alias("name")).withColumnsRenamed({"s_nationkey": "nation"})
+    nation = F.col("c_nationkey").alias("nation")
+    new = t.customer.groupBy(nation).agg(F.min("c_name").alias("name"), F.min("c_custkey").alias("key"))
+    both = known.withColumn("key", F.lit(None).cast("bigint")).unionByName(new)
+    flags = [(F.col("nation").cast("string") == c.split("_", 1)[1]).cast("int").alias(c) for c in _object_frame(t).columns if c.startswith("nation_")]
+    place = (F.pmod(F.col("key") * 37, F.lit(360)).cast("double").alias("ra"), (F.pmod(F.col("key") * 17, F.lit(180)) - 90).cast("double").alias("dec"))
+    turn = (F.col("nation") * 2 + F.col("key").isNotNull().cast("int")).alias("turn")
+    return both.select(turn, "name", F.lit(None).cast("double").alias("s_acctbal"), *place, *flags)
 
 
 @query("ml14_batch_recommendations")
 def ml14(t):
     model = _model(t)
-    wanted = _first_objects(t)
-    given = RC.recommend_in_turn(model.scored(wanted), model.edges, wanted, 10)
-    return RC.recommendation_table(given, t.objects(), _papers(t).select("refcode", "title", "description", "link", "p_partkey"), "p_partkey")
+    given = model.recommend(_requests(t), 10)
+    known = t.objects().select("objid", "ra", "dec")
+    asked = _requests(t).select(F.col("name").alias("objid"), "ra", "dec").filter("ra is not null")
+    return RC.recommendation_table(given, known.unionByName(asked), _papers(t).select("refcode", "title", "description", "link", "p_partkey"), "p_partkey")
 
 
 @query(
@@ -300,22 +320,27 @@ def snk03(t):
 
 @query("ml15_rebuild")
 def ml15(t):
-    """Names cleaned, empty objects merged, matrices built, radius searched, objects clustered, models fitted, votes checked."""
+    """Names cleaned, empty objects merged, gaps filled, matrices built, radius searched, objects clustered, models fitted,
+    saved and read back, votes checked."""
     from orrery.operators import entities as E
 
     key = F.col("seq")
     bands = ["spec_u", "spec_g", "spec_r", "spec_i", "spec_z"]
-    objects = t.objects().select("seq", "objid", "ra", "dec", *[F.when(key % 9 != 0, F.col("s_acctbal") * (i + 1) + key).alias(b) for i, b in enumerate(bands)])
+    # Every ninth object has no band at all; others lack a single one here and there.
+    gaps = [F.when((key % 9 != 0) & (key % 7 != i), F.col("s_acctbal") * (i + 1) + key).alias(b) for i, b in enumerate(bands)]
+    objects = t.objects().select("seq", collapse_blanks(F.col("objid")).alias("objid"), "ra", "dec", *gaps)
     objects, edges = E.merge_empty_objects(objects, t.edges(), bands, [F.col("ra"), F.col("dec")])
     objects, edges = cut_lineage(objects.filter("objid <> ''").distinct()), cut_lineage(edges)
-    model = PR.fit_pca(objects, ["ra", "dec", *bands], 5)
-    components = cut_lineage(PR.project(model, objects, ["objid", "seq"]))
+    projection = PR.fit_filled(objects, ["ra", "dec", *bands], 5)
+    components = cut_lineage(projection.project(objects, ["objid", "seq"]))
     papers = cut_lineage(_paper_components(t))
     dims = [f"x{i}" for i in range(5)]
     placed = components.select("objid", "seq", *[F.get("pc", F.lit(i)).alias(d) for i, d in enumerate(dims)])
     radius = CL.choose_radius(CL.radius_candidates(placed, "seq", dims)).first()["eps"] or CL.median_distance(placed, "seq", dims)
     groups = cut_lineage(CL.dbscan(placed, "seq", dims, radius).join(components.select("objid", "seq"), "seq").select("objid", F.col("label").alias("cluster")))
-    bundle = RC.build(components.select("objid", "pc"), papers, edges, groups)
+    path = fresh_path(t.spark, "rebuilt")
+    RC.build(components.select("objid", "pc"), papers, edges, groups, projection=projection).save(path)
+    bundle = RC.Recommender.load(t.spark, path)
     wanted = [r["objid"] for r in RC.sample_objects(objects, 100).collect()]
     asked = edges.filter(F.col("objid").isin(wanted))
     return describe(RC.evaluate(RC.vote(bundle.scored(wanted), 20), asked), ["precision", "recall", "f1"])
