@@ -89,13 +89,15 @@ def blocked(df: DataFrame, pos: Column, halo: int, rows: int = BLOCK_ROWS) -> Da
 def at_positions(ranked: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Join each wanted (keys, pos) to the value that holds this 0-based position.
 
-    ``ranked`` rows cover [n_before, n_before + n). Positions are bucketed per key into at most 4096 buckets, so the
-    range look-up is an equi-join and a value with very many copies meets only the buckets it covers.
+    ``ranked`` rows cover [n_before, n_before + n). Positions are bucketed by 64 (by more only beyond 2^26 rows of a
+    key, so that one value covers at most 2^20 buckets). The range look-up is then an equi-join in which a look-up meets
+    the few values of its bucket, however closely the look-ups crowd.
     """
     keys = list(keys)
 
     def bucket(pos: Column) -> Column:
-        return F.floor(pos * 4096 / F.col("n_total")).cast("int")
+        width = F.greatest(F.lit(64).cast("bigint"), F.shiftright(F.col("n_total").cast("bigint"), 20) + 1)
+        return F.floor(pos / width).cast("bigint")
 
     spread = ranked.select(
         *keys,
