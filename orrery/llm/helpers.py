@@ -103,5 +103,13 @@ def group_bounds(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(changed), len(frame))
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in batches of at most ``rows``: a batch is held by the JVM and the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -46,11 +46,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op4_top_k",
     """with v as (
-      select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as e from embeddings
+      select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
       where vec_id is not null and embedding is not null
-        and list_bool_and(list_transform(embedding, x -> x is not null and coalesce(isfinite(x), false)))),
+        and list_bool_and(list_transform(embedding, lambda x: x is not null and coalesce(isfinite(x), false)))),
     scored as (
-      select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i]))::bigint as score
+      select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
       from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
     ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
     select query_id, rank, vec_id, score from ranked where rank <= 5""",
