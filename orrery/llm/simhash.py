@@ -158,13 +158,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of every group: the one with the smallest doc_id (numbers before null, then the smaller hash of its text)."""
+    """One document of every group: the one with the smallest doc_id (numbers before null, then the smaller hash of its text).
+
+    The texts are dealt by (doc_id, hash) once, against a hash table of the documents to keep, and are not sorted.
+    """
+    found = near_duplicates(docs).select("doc_id", "text_hash", "root")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("_first")).select("_first.*")
-    first = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    first = found.groupBy("root").agg(F.min(order).alias("_first"))
+    first = stored(first.select("_first.*"), "kept")
+    slim = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     own = docs.withColumn("_own", F.xxhash64("text"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    return own.join(first, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    kept = own.join(slim.hint("shuffle_hash"), same, "left_semi")
+    # A repeated row of a document to keep passes the join as well; one look at the slim table tells if there is any.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"))
+    if rows.join(slim, (rows["_id"].eqNullSafe(slim["_id"])) & (rows["_hash"] == slim["_hash"]), "left_semi").count() > first.count():
+        kept = kept.dropDuplicates(["doc_id", "_own"])
+    return kept.select(*docs.columns)
 
 
 def hex16(fp: str = "fp"):
