@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orrery.session import fresh_path
 
@@ -110,6 +111,15 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, rows)
 
 
+def smallest_draws(df: DataFrame, draw: str, n: int) -> DataFrame:
+    """Some rows with the smallest 64-bit hashes, about 4 n of all, however many partitions there are: a top-n of
+    them reads little, where a top-n of everything would bring n rows of every partition to one task."""
+    rows = df.count()
+    if rows <= 4 * n:
+        return df
+    return df.filter(F.col(draw) < int(-(2**63) + 2**64 * (4 * n / rows)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     short_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.helpers import WordCache, partitions_for, process_store, spoonfuls
+from orrery.llm.helpers import WordCache, partitions_for, process_store, smallest_draws, spoonfuls
 
 MAGIC = b"ORTOK001"
 FOOTER = "<8sQQQI"  # magic, dictionary hash, start of the index, documents, bytes per id
@@ -113,13 +113,8 @@ def byte_symbols(word: str) -> str:
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
     """Dictionary from the id arrays of a bounded sample; empty where the sample is too small to train on."""
-    sample = (
-        docs.select("text", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("_draw"))
-        .filter(F.length("text") > 0)
-        .orderBy("_draw")
-        .limit(SAMPLE_DOCS)
-        .select("text")
-    )
+    drawn = docs.select("text", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("_draw"))
+    sample = smallest_draws(drawn, "_draw", SAMPLE_DOCS).filter(F.length("text") > 0).orderBy("_draw").limit(SAMPLE_DOCS).select("text")
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_encoder(tokenizer_path)
