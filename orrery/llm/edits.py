@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from orrery.llm.helpers import WordCache, process_store, spoonfuls
 
 LEAF = 32
+# Segments that a worker remembers.
+MEMO = 300_000
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 EDITS = "array<struct<at:long,remove:long,insert:string>>"
 
@@ -46,7 +48,7 @@ def encoding_at(path: str, pattern: str):
 def token_counter(path: str, pattern: str) -> WordCache:
     """Memo of the number of tokens of a segment."""
     encoding = encoding_at(path, pattern)
-    return WordCache(f"counts {path}", lambda some: [len(encoding.encode_ordinary(s)) for s in some])
+    return WordCache(f"counts {path}", lambda some: [len(encoding.encode_ordinary(s)) for s in some], MEMO)
 
 
 class CountTree:

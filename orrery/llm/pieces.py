@@ -34,6 +34,8 @@ MARKER = "▁"
 NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
+# Stretches that a worker remembers; the memo outlives the stage, so it is kept well below a worker's share of memory.
+MEMO = 150_000
 
 
 class Trie:
@@ -171,7 +173,7 @@ def model_at(path: str) -> PieceModel:
 def encode_texts(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as unsigned 32-bit little-endian integers."""
     model = model_at(path)
-    cache = WordCache(f"pieces {path}", lambda some: [array("I", model.viterbi(s)).tobytes() for s in some])
+    cache = WordCache(f"pieces {path}", lambda some: [array("I", model.viterbi(s)).tobytes() for s in some], MEMO)
     for some in spoonfuls(texts):
         split = [model.stretches(t) for t in some]
         known = cache.learn(chain.from_iterable(split)).__getitem__
