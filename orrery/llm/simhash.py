@@ -36,11 +36,11 @@ CHOICES = list(combinations(range(len(GROUPS)), len(GROUPS) - DISTANCE))
 BLOCK = 4096
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash over the word shingles of a text, as an unsigned integer."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, in its order; a text with fewer words is one shingle."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found])
     starts = np.concatenate(([0], ends[:-1]))
@@ -49,7 +49,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     shingles = [joined[s:e] for s, e in zip(starts.tolist(), (ends - 1).tolist())]
-    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash over the word shingles of a text, as an unsigned integer."""
+    return majority(shingle_hashes(text, words))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -157,25 +162,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of every group: the one with the smallest doc_id (numbers before null, then the smaller hash of its text).
-
-    The texts are dealt by (doc_id, hash) once, against a hash table of the documents to keep, and are not sorted.
-    """
-    found = near_duplicates(docs).select("doc_id", "text_hash", "root")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = found.groupBy("root").agg(F.min(order).alias("_first"))
-    first = stored(first.select("_first.*"), "kept")
-    slim = first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    kept = own.join(slim.hint("shuffle_hash"), same, "left_semi")
-    # A repeated row of a document to keep passes the join as well; one look at the slim table tells if there is any.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"))
-    if rows.join(slim, (rows["_id"].eqNullSafe(slim["_id"])) & (rows["_hash"] == slim["_hash"]), "left_semi").count() > first.count():
-        kept = kept.dropDuplicates(["doc_id", "_own"])
-    return kept.select(*docs.columns)
-
-
 def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
