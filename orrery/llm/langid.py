@@ -30,6 +30,8 @@ PER_LANGUAGE, LANDMARKS = 200, 16
 RIDGE = 1e-3
 SHARPNESS = 4.0
 UNKNOWN = "und"
+# A winner with less than this many times the mean weight of the other languages is no better than an even split.
+LEAST_ODDS = 9 / 7
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 
@@ -165,6 +167,30 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     return Model(languages, place, weights, solution[-1])
 
 
+def odds(score: Column, model: Model) -> Column:
+    """Weight of the winner over the mean weight of the other languages: 1 for an even split, however many there are."""
+    return F.try_divide(score * (len(model.languages) - 1), 1 - score)
+
+
+def least_odds(found: DataFrame, model: Model) -> float:
+    """The bound on ``odds`` under which a language counts as not recognised: ``LEAST_ODDS``, or less if over one in a
+    thousand of the held-out labelled documents that are identified rightly would fall under it."""
+    clean = found.filter(held_out(F.col("doc_id")) & (F.col("lang_pred") != UNKNOWN) & (F.col("lang") == F.col("lang_pred")))
+    low = clean.agg(F.percentile_approx(F.coalesce(odds(F.col("lang_score"), model), F.lit(LEAST_ODDS)), 0.001, 100_000)).first()[0]
+    return LEAST_ODDS if low is None else min(LEAST_ODDS, low)
+
+
+def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents whose language is recognised; without a model, all that have a letter."""
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model)
+    bound = least_odds(identify(docs.select("doc_id", "lang", "text").filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull()), model), model)
+    # Without a second language, or with all the weight on one, there is nothing to compare with.
+    clear = F.coalesce(odds(F.col("lang_score"), model) >= bound, F.lit(True)) if len(model.languages) > 1 else F.lit(True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & clear).select(*docs.columns)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of the documents, with lang_pred and lang_score (columns of these names are replaced)."""
     if model is None:

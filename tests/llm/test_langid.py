@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, the kernel against plain sets, and odd input."""
 
+import random
 import zlib
 from pathlib import Path
 
@@ -57,3 +58,29 @@ def test_odd_input(spark):
     assert langid.train(unlabelled) is None
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
     assert langid.identify(docs.limit(0), langid.train(docs)).count() == 0
+
+
+def test_recognised_does_not_depend_on_the_number_of_languages(spark):
+    rng = random.Random(8)
+    shared = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(12)]
+    for count in (1, 2, 24):
+        own = [["".join(rng.choices("abcdefgh", k=4)) for _ in range(12)] for _ in range(count)]
+        say = lambda i, k=4: " ".join(rng.choices(own[i], k=k) + rng.choices(shared, k=7 - k))
+        rows = [(n, say(n % count), f"l{n % count:02d}") for n in range(count * 40)]
+        rows += [(100_000 + n, say(n % count, 2), None) for n in range(count * 4)]
+        rows += [(200_000, "12 --", None), (200_001, None, "l00")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = langid.train(docs)
+        scores = {r.doc_id: r.lang_score for r in langid.identify(docs, model).collect()}
+        kept = {r.doc_id for r in langid.recognised(docs, model).collect()}
+        assert not kept & {200_000, 200_001}
+        assert len(kept) >= 0.98 * (len(rows) - 2)
+        if count == 24:
+            assert len({d for d in kept if scores[d] < 0.3}) > 0.1 * count * 4
+
+
+def test_without_labels_documents_with_letters_stay(spark):
+    rows = [(1, "some text", None), (2, "ünder", None), (3, "12 --", None), (4, None, None), (5, "", None), (None, "日本", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs) is None
+    assert sorted(r.text for r in langid.recognised(docs, None).collect()) == ["some text", "ünder", "日本"]
