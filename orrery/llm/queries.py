@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, secrets_forest, simhash, token_files
+from orrery.llm import bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, secrets_forest, simhash, token_files, turntrie
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -128,3 +128,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(places, ",").alias("places"),
         F.crc32(F.col("redacted").cast("binary")).alias("redacted_crc32"),
     )
+
+
+@query(
+    "op13_conversation_trie",
+    """with recursive own as (
+      select conv_id, coalesce(role, '') as r, coalesce(text, '') as x,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as p
+      from conversations where conv_id is not null),
+    bits as (select conv_id, list_transform(list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)), lambda b: b::bigint) as bytes
+      from own group by conv_id),
+    crc as (select conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, b: list_reduce(
+        list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 9 as h from bits),
+    conv as (select conv_id, h, conv_id - conv_id % 5 as base from crc),
+    turn as (
+      select c.conv_id, 0 as part, o.p, o.r, o.x from conv c join own o on o.conv_id = c.base where o.p < c.h
+      union all select c.conv_id, 1, o.p, o.r, o.x from conv c join own o on o.conv_id = c.conv_id where o.p >= c.h),
+    seq as (
+      select c.conv_id, coalesce(list(struct_pack(r := t.r, x := t.x) order by t.part, t.p) filter (where t.p is not null), []) as s
+      from conv c left join turn t on t.conv_id = c.conv_id group by c.conv_id),
+    prefix as (select conv_id, s[1:d] as k, d, len(s) = d as last from (select conv_id, s, unnest(range(0, len(s) + 1)) as d from seq)),
+    node as (
+      select k, d, min(conv_id) as conv_id, count(*) as n,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '')) as ends_sha256
+      from prefix group by k, d),
+    child as (select k[1:d - 1] as k, d - 1 as d, count(*) as n from node where d > 0 group by 1, 2),
+    under as (
+      select k[1:e] as k, e as d, sum(leaf) as n_leaves, sum(case when d = 0 then 0 else (n - 1) * strlen(k[d].x) end) as saved
+      from (select a.k, a.d, a.n, (b.n is null)::int as leaf, unnest(range(0, a.d + 1)) as e from node a left join child b on b.k = a.k and b.d = a.d)
+      group by 1, 2)
+    select a.conv_id, a.d::bigint as depth, p.conv_id as parent_conv_id, a.n as n_convs, coalesce(c.n, 0)::bigint as n_children,
+      u.n_leaves::bigint as n_leaves, u.saved::bigint as saved_tokens, a.ends_sha256
+    from node a left join node p on p.k = a.k[1:a.d - 1] and p.d = a.d - 1
+      left join child c on c.k = a.k and c.d = a.d join under u on u.k = a.k and u.d = a.d""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all rebuilt conversations."""
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
