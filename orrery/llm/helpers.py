@@ -33,27 +33,34 @@ def process_store(name: str) -> dict:
 
 
 class WordCache:
-    """Memo from a piece of text to its encoded form, for one worker; emptied when it holds ``limit`` entries.
+    """Memo from a piece of text to its encoded form, for one worker, in two generations.
 
-    ``encode_many`` gets a list of distinct pieces and returns their encodings in the same order.
+    New entries and hits go to the young generation; when it holds half of ``limit`` it becomes the old one, and the
+    former old one is dropped. Common pieces stay, rare ones leave. ``encode_many`` gets a list of distinct pieces and
+    returns their encodings in the same order.
     """
 
     def __init__(self, name: str, encode_many: Callable[[list], Iterable], limit: int = 600_000):
-        self.known = process_store(name)
+        self.store = process_store(name)
+        self.store.setdefault("young", {})
+        self.store.setdefault("old", {})
         self.encode_many = encode_many
         self.limit = limit
 
     def learn(self, pieces: Iterable) -> dict:
-        """The memo, with these pieces in it."""
-        wanted = set(pieces)
-        missing = wanted.difference(self.known)
+        """A mapping that holds these pieces; good until the next call."""
+        if len(self.store["young"]) > self.limit // 2:
+            self.store["old"], self.store["young"] = self.store["young"], {}
+        young, old = self.store["young"], self.store["old"]
+        missing = set(pieces).difference(young)
+        if old and missing:
+            known = {p: old[p] for p in missing if p in old}
+            young.update(known)
+            missing.difference_update(known)
         if missing:
-            if len(self.known) + len(missing) > self.limit:
-                self.known.clear()
-                missing = wanted
             missing = list(missing)
-            self.known.update(zip(missing, self.encode_many(missing)))
-        return self.known
+            young.update(zip(missing, self.encode_many(missing)))
+        return young
 
 
 def spoonfuls(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
