@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import alignment, bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, secrets_forest, simhash, token_files, turntrie
+from orrery.llm import alignment, bitslice, debruijn, edits, fmindex, langid, pagediff, pieces, secrets_forest, simhash, token_files, toxicity, turntrie
 from orrery.llm.helpers import stored, table
 from orrery.session import fresh_path
 
@@ -130,6 +130,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of two vocabularies, and how common the links are."""
