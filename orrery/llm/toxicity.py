@@ -1,13 +1,14 @@
 """Toxicity by logistic regression with the FTRL-proximal rule over hashed word n-grams and skip-grams.
 
-The features of a text are its distinct words, pairs of neighbours, and pairs with one or two words between them, hashed
+The features of a text are its distinct words, pairs of neighbours, and pairs with one word between them, hashed
 to ``BUCKETS``. Every coordinate has a learning rate of its own, and the L1 term leaves few weights, which travel in
 the tasks' closure: a sorted list of buckets and their weights, bounded by ``BUCKETS``.
 
-The model learns from at most ``SAMPLE`` labelled documents, those with the smallest hashes of doc_id. Features in fewer than ``LEAST`` of them
-are left out. The sample is dealt into ``SHARDS``; in each of ``ROUNDS`` rounds every shard runs once through its
-documents from the common state, and the new state adds the mean change over the shards that touched a coordinate. Only the state
-(two numbers per kept feature) passes the driver.
+The model learns from at most ``SAMPLE`` labelled documents, those with the smallest hashes of doc_id. Features in less
+than ``LEAST_SHARE`` of them, or in fewer than ``LEAST``, are left out. The sample is packed into ``SHARDS`` rows of kept features; in
+each of ``ROUNDS`` rounds every shard runs once through its documents from the common state, and the new state adds the
+mean change over the shards that touched a coordinate. Counts and changes travel as packed runs of coordinates. Only the
+state (two numbers per kept feature) passes the driver.
 
 Defined cases: a null, empty or wordless text has the score of the bias alone; label rows with a null doc_id or label are
 ignored; of several labels of a document the highest holds; of several texts of a labelled doc_id the smallest is learnt;
@@ -29,11 +30,13 @@ from xxhash import xxh64_intdigest
 
 from orrery.llm.helpers import smallest_draws, stored
 
-BITS = 22
+BITS = 21
 BUCKETS = 1 << BITS
-GAPS = (1, 2, 3)
-SAMPLE, LEAST = 20_000, 6
-SHARDS, ROUNDS = 8, 6
+GAPS = (1, 2)
+SAMPLE, LEAST_SHARE, LEAST = 20_000, 0.001, 3
+SHARDS, ROUNDS = 4, 6
+# Coordinates in one packed run.
+RUN = 1 << 14
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 1.0
 BOUND = 0.3
 WORD = re.compile(r"[^\W_]+")
@@ -90,14 +93,39 @@ class State:
         self.n[at] = n + g * g
 
 
-def passed(state: State, examples: Iterable[tuple[np.ndarray, int]]) -> pd.DataFrame:
-    """(place, z, n): the changes that one pass over a shard makes to the state."""
+def passed(state: State, examples: Iterable[tuple[np.ndarray, int]]) -> State:
+    """The state after one pass over a shard."""
     own = State(len(state.z) - 1)
     own.z[:], own.n[:] = state.z, state.n
     for at, label in examples:
         own.learn(at, label)
-    place = np.flatnonzero(own.n != state.n)
-    return pd.DataFrame({"place": place, "z": (own.z - state.z)[place], "n": (own.n - state.n)[place]})
+    return own
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Number and bytes of every run of coordinates that holds anything (the last axis is cut)."""
+    for number, at in enumerate(range(0, values.shape[-1], RUN)):
+        part = values[..., at : at + RUN]
+        if part.any():
+            yield number, part.tobytes()
+
+
+def summed(packed: DataFrame, rows: int, size: int) -> np.ndarray:
+    """Sums of the packed runs of a bounded number of tasks or shards, as an array of ``rows`` by ``size``."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for number, part in zip(frame["run"].tolist(), frame["part"]):
+                values = np.frombuffer(part, np.float64)
+                sums[number] = sums[number] + values if number in sums else values
+        yield pd.DataFrame({"run": list(sums), "part": [v.tobytes() for v in sums.values()]})
+
+    out = np.zeros((rows, size))
+    for r in packed.repartition("run").mapInPandas(add, "run int, part binary").toLocalIterator():
+        part = np.frombuffer(bytes(r.part), np.float64).reshape(rows, -1)
+        out[:, r.run * RUN : r.run * RUN + part.shape[1]] = part
+    return out
 
 
 class Weights:
@@ -117,48 +145,65 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     return learnable.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def fit(sample: DataFrame) -> Weights | None:
-    """Learn from rows (doc_id, label 0 or 1, text), a bounded sample."""
-    spark = sample.sparkSession
+def kept_features(sample: DataFrame) -> np.ndarray:
+    """Buckets in at least ``LEAST_SHARE`` of the sample, and in ``LEAST`` documents, ascending."""
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS)
+        for frame in frames:
+            for text in frame["text"]:
+                counts[features(text)] += 1
+        yield pd.DataFrame(runs(counts), columns=["run", "part"])
+
+    counts = summed(sample.mapInPandas(counted, "run int, part binary"), 1, BUCKETS)[0]
+    return np.flatnonzero(counts >= max(LEAST, LEAST_SHARE * sample.count())).astype(np.int32)
+
+
+def packed_examples(sample: DataFrame, kept: np.ndarray) -> DataFrame:
+    """One row per shard: labels, number of features, and features of its documents, in the order of their hashes."""
+    hashes = {"shard": F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(SHARDS)).cast("int"), "order": F.xxhash64("doc_id", F.lit(19))}
+    sent = sample.sparkSession.sparkContext.broadcast(kept)
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[sent.value] = np.arange(len(sent.value))
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "buckets": [features(t) for t in frame["text"]]})
+            places = [place[features(t)] for t in frame["text"]]
+            yield frame[["shard", "order", "label"]].assign(places=[p[p >= 0].tobytes() for p in places])
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("order")
+        sizes = (frame["places"].str.len() // 4).to_numpy(np.int32)
+        return pd.DataFrame({"labels": [frame["label"].to_numpy(np.int8).tobytes()], "sizes": [sizes.tobytes()], "places": [b"".join(frame["places"])]})
 
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(SHARDS)).cast("int")
-    hashes = sample.mapInPandas(hashed, "doc_id long, label int, buckets array<int>").withColumn("shard", shard)
-    rows = stored(hashes.repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(19))), "examples")
-    if rows.isEmpty():
+    rows = sample.withColumns(hashes).mapInPandas(hashed, "shard int, order long, label int, places binary")
+    return stored(rows.groupBy("shard").applyInPandas(packed, "labels binary, sizes binary, places binary"), "examples")
+
+
+def fit(sample: DataFrame) -> Weights | None:
+    """Learn from rows (doc_id, label 0 or 1, text), a bounded sample."""
+    sample = stored(sample, "sample")
+    if sample.isEmpty():
         return None
-    common = rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LEAST)
-    kept = np.sort(common.select("bucket").toArrow().column("bucket").to_numpy())
+    kept = kept_features(sample)
+    shards = packed_examples(sample, kept)
     state = State(len(kept))
-    order = rows.select("shard", F.xxhash64("doc_id", F.lit(19)).alias("_o"), "label", "buckets").repartition(SHARDS, "shard").sortWithinPartitions("shard", "_o")
     for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((kept, state))
+        sent = sample.sparkSession.sparkContext.broadcast(state)
 
         def passes(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            kept, state = sent.value
-            place = np.full(BUCKETS, -1, np.int32)
-            place[kept] = np.arange(len(kept))
-            ahead = (r for frame in frames for r in zip(frame["shard"].tolist(), frame["buckets"], frame["label"].tolist()))
-            row = next(ahead, None)
-            while row is not None:
-                number = row[0]
-
-                def examples() -> Iterator[tuple[np.ndarray, int]]:
-                    nonlocal row
-                    while row is not None and row[0] == number:
-                        at = place[np.asarray(row[1], np.int64)]
-                        yield at[at >= 0], row[2]
-                        row = next(ahead, None)
-
-                yield passed(state, examples())
-
-        changes = order.mapInPandas(passes, "place long, z double, n double").groupBy("place").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        at = changes.column("place").to_numpy()
-        state.z[at] += changes.column("z").to_numpy()
-        state.n[at] += changes.column("n").to_numpy()
+            for frame in frames:
+                for labels, sizes, places in zip(frame["labels"], frame["sizes"], frame["places"]):
+                    cuts = np.cumsum(np.frombuffer(sizes, np.int32))[:-1]
+                    examples = zip(np.split(np.frombuffer(places, np.int32), cuts), np.frombuffer(labels, np.int8).tolist())
+                    state = sent.value
+                    own = passed(state, examples)
+                    changes = np.stack([own.z - state.z, own.n - state.n, (own.n != state.n).astype(np.float64)])
+                    yield pd.DataFrame(runs(changes), columns=["run", "part"])
+
+        z, n, times = summed(shards.mapInPandas(passes, "run int, part binary"), 3, len(kept) + 1)
+        state.z += z / np.maximum(times, 1)
+        state.n += n / np.maximum(times, 1)
         sent.destroy()
     values = weights_of(state.z[:-1], state.n[:-1])
     some = np.flatnonzero(values)

@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +21,7 @@ def plain_features(text):
     words = [xxh64_intdigest(w) for part in words for w in part.split()]
     mask = (1 << 64) - 1
     found = set(words)
-    for gap in (1, 2, 3):
+    for gap in (1, 2):
         found |= {((a * 0x9E3779B97F4A7C15 & mask) ^ b) * (0xC2B2AE3D27D4EB4F + 2 * gap) & mask for a, b in zip(words, words[gap:])}
     return sorted({h >> (64 - toxicity.BITS) for h in found})
 
@@ -59,12 +60,13 @@ def test_steps_against_plain_ftrl():
 
 
 def test_rounds_against_plain_sums(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "LEAST", 1)
+    monkeypatch.setattr(toxicity, "RUN", 16)
     rows = [(i, i % 3 == 0, f"w{i % 7} and {'bad' if i % 3 == 0 else 'good'} w{i % 5}") for i in range(60)]
     sample = spark.createDataFrame(rows, "doc_id long, label boolean, text string").selectExpr("doc_id", "int(label) label", "text")
     found = toxicity.fit(sample)
     order = sample.selectExpr("doc_id", "label", "text", f"int(pmod(xxhash64(doc_id, 17), {toxicity.SHARDS})) shard", "xxhash64(doc_id, 19) o").collect()
-    kept = sorted({b for r in order for b in plain_features(r.text)})
+    often = Counter(b for r in order for b in plain_features(r.text))
+    kept = sorted(b for b, n in often.items() if n > 2)
     state = toxicity.State(len(kept))
     for _ in range(toxicity.ROUNDS):
         z, n, times = (np.zeros(len(kept) + 1) for _ in range(3))
@@ -72,7 +74,7 @@ def test_rounds_against_plain_sums(spark, monkeypatch):
             own = toxicity.State(len(kept))
             own.z[:], own.n[:] = state.z, state.n
             for r in sorted((r for r in order if r.shard == shard), key=lambda r: r.o):
-                own.learn(np.searchsorted(kept, plain_features(r.text)), r.label)
+                own.learn(np.searchsorted(kept, [b for b in plain_features(r.text) if often[b] > 2]), r.label)
             times += own.n != state.n
             z += own.z - state.z
             n += own.n - state.n
@@ -93,7 +95,7 @@ def test_held_out_documents(spark):
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
     ones = [r.score for r in rows if r.held_out and toxic.get(r.doc_id) == 1]
     zeros = [r.score for r in rows if r.held_out and toxic.get(r.doc_id) == 0]
-    assert np.mean([a > b for a in ones for b in zeros]) > 0.85
+    assert np.mean([a > b for a in ones for b in zeros]) > 0.8
 
 
 def test_defined_cases(spark):
