@@ -35,7 +35,9 @@ NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
 # Stretches that a worker remembers; the memo outlives the stage, so it is kept well below a worker's share of memory.
-MEMO = 150_000
+MEMO = 300_000
+# Stretches that the search walks at once.
+LOCKSTEP = 8192
 
 
 class Trie:
@@ -107,6 +109,7 @@ class PieceModel:
         self.scores = [scores.get(i, 0.0) for i in range(len(proto.pieces))]
         self.unknown_score = min(scores.values()) - UNKNOWN_PENALTY
         self.trie = Trie({proto.pieces[i].piece.encode(): i for i in normal})
+        self.arrays: tuple[np.ndarray, ...] | None = None
         self.surface = [p.piece.replace(MARKER, " ").encode() if p.type in (NORMAL, USER) else b"" for p in proto.pieces]
         for byte, i in self.byte_ids.items():
             self.surface[i] = bytes([byte])
@@ -122,45 +125,107 @@ class PieceModel:
         text = text.replace(" ", MARKER)
         return self.stretch.findall(MARKER + text if self.prefix else text)
 
-    def viterbi(self, stretch: str) -> list[int]:
-        """Ids of the best segmentation; of equals, the one that was found first, from the left."""
-        data = stretch.encode("utf-8", "replace")
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        n = len(data)
-        best = [-math.inf] * (n + 1)
-        best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """The trie and the scores as arrays (base, check, value, score), for ``viterbi``."""
+        if self.arrays is None:
+            trie = [np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
+            self.arrays = (*trie, np.array(self.scores))
+        return self.arrays
+
+    def viterbi(self, stretches: list[str]) -> Iterator[bytes]:
+        """Ids of the best segmentation of each stretch; of equals, the one that was found first, from the left.
+
+        Stretches of similar length go forward together: the search stands at the same byte of all of them.
+        """
+        data = [s.encode("utf-8", "replace") for s in stretches]
+        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        found: list[bytes] = [b""] * len(data)
         at = 0
-        while at < n:
-            lead = data[at]
-            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            here, state, single = best[at], 0, False
-            for end in range(at, n):
-                step = base[state] + data[end]
-                if check[step] != state or step == 0:
-                    break
-                state = step
+        while at < len(order):
+            # At most some 2^20 bytes a time, padding included: the last of a run is its longest.
+            high = min(at + LOCKSTEP, len(order))
+            while high > at + 1 and (high - at) * (len(data[order[high - 1]]) + 1) > 1 << 20:
+                high = at + (high - at) // 2
+            some = order[at:high]
+            for i, ids in zip(some, self.best_paths([data[i] for i in some])):
+                found[i] = ids
+            at = high
+        yield from found
+
+    def best_paths(self, data: list[bytes]) -> Iterator[bytes]:
+        base, check, value, score = self.tables()
+        sizes = np.array([len(d) for d in data])
+        longest = int(sizes.max(initial=0))
+        # A row per place: byte, best score up to there, start of the last piece and its id. Bytes behind the end are -1.
+        byte = np.full((longest + 1, len(data)), -1, np.int32)
+        column = np.repeat(np.arange(len(data)), sizes)
+        byte[np.arange(len(column)) - np.repeat(np.cumsum(sizes) - sizes, sizes), column] = np.frombuffer(b"".join(data), np.uint8)
+        best = np.full((longest + 1, len(data)), -np.inf)
+        best[0] = 0.0
+        start, last = np.zeros((longest + 1, len(data)), np.int32), np.zeros((longest + 1, len(data)), np.int32)
+        for at in range(longest):
+            # A character starts here: not a byte of the form 10xxxxxx.
+            lead = byte[at]
+            live = np.flatnonzero((lead >= 0) & (lead & 0xC0 != 0x80))
+            lead = lead[live]
+            width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            single = np.zeros(len(live), bool)
+            row, walk, state = np.arange(len(live)), live, np.zeros(len(live), np.int32)
+            end = at
+            while len(walk):
+                step = base[state] + byte[end, walk]
+                going = (byte[end, walk] >= 0) & (step != 0)
+                going[going] = check[step[going]] == state[going]
+                row, walk, state = row[going], walk[going], step[going]
+                end += 1
                 piece = value[state]
-                if piece >= 0:
-                    score = here + scores[piece]
-                    if score > best[end + 1]:
-                        best[end + 1] = score
-                        back[end + 1] = (at, piece)
-                    single |= end + 1 - at == size
-            if not single and here + self.unknown_score > best[at + size]:
-                best[at + size] = here + self.unknown_score
-                back[at + size] = (at, self.unknown_id)
-            at += size
-        out: list[int] = []
-        at = n
-        while at:
-            start, piece = back[at]
-            if piece == self.unknown_id and self.byte_ids:
-                out += [self.byte_ids[b] for b in reversed(data[start:at])]
-            else:
-                out.append(piece)
-            at = start
-        return out[::-1]
+                ends = piece >= 0
+                if ends.any():
+                    to, ids = walk[ends], piece[ends]
+                    reached = best[at, to] + score[ids]
+                    better = reached > best[end, to]
+                    best[end, to[better]], start[end, to[better]], last[end, to[better]] = reached[better], at, ids[better]
+                    single[row[ends]] |= width[row[ends]] == end - at
+                if end > longest - 1:
+                    break
+            for own in range(1, 5):
+                to = live[~single & (width == own)]
+                if len(to):
+                    reached = best[at, to] + self.unknown_score
+                    better = to[reached > best[at + own, to]]
+                    best[at + own, better] = best[at, better] + self.unknown_score
+                    start[at + own, better], last[at + own, better] = at, self.unknown_id
+        # Back from the ends, one piece of every stretch at a time.
+        walk, end = np.flatnonzero(sizes), sizes[sizes > 0]
+        owners, ids, spans = [], [], []
+        while len(walk):
+            before = start[end, walk]
+            owners.append(walk)
+            ids.append(last[end, walk])
+            spans.append((before, end))
+            on = before > 0
+            walk, end = walk[on], before[on]
+        if not owners:
+            yield from [b""] * len(data)
+            return
+        owner, piece = np.concatenate(owners[::-1]), np.concatenate(ids[::-1])
+        order = np.argsort(owner, kind="stable")
+        owner, piece = owner[order], piece[order].astype("<u4")
+        cuts = np.searchsorted(owner, np.arange(len(data) + 1)).tolist()
+        unknown = np.zeros(len(data), bool)
+        if self.byte_ids:
+            unknown[owner[piece == self.unknown_id]] = True
+            low = np.concatenate([x for x, _ in spans[::-1]])[order]
+            high = np.concatenate([x for _, x in spans[::-1]])[order]
+        for i, (a, b, odd) in enumerate(zip(cuts, cuts[1:], unknown.tolist())):
+            if not odd:
+                yield piece[a:b].tobytes()
+                continue
+            parts = [
+                [self.byte_ids[x] for x in data[i][f:t]] if p == self.unknown_id else [p]
+                for p, f, t in zip(piece[a:b].tolist(), low[a:b].tolist(), high[a:b].tolist())
+            ]
+            yield array("I", chain.from_iterable(parts)).tobytes()
 
 
 def model_at(path: str) -> PieceModel:
@@ -173,7 +238,7 @@ def model_at(path: str) -> PieceModel:
 def encode_texts(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as unsigned 32-bit little-endian integers."""
     model = model_at(path)
-    cache = WordCache(f"pieces {path}", lambda some: [array("I", model.viterbi(s)).tobytes() for s in some], MEMO)
+    cache = WordCache(f"pieces {path}", model.viterbi, MEMO)
     for some in spoonfuls(texts):
         split = [model.stretches(t) for t in some]
         known = cache.learn(chain.from_iterable(split)).__getitem__
