@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import fmindex, langid, overlap, pieces, secrets_forest
+from orrery.llm import fmindex, langid, pieces, secrets_forest, simhash
 from orrery.llm.helpers import short_batches, stored, table
 
 
@@ -21,9 +21,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of every group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keep one document of every group of near-duplicates: fingerprints of three-word shingles, at most 3 bits apart."""
     short_batches(spark)
-    return overlap.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
