@@ -63,7 +63,7 @@ class WordCache:
         return young
 
 
-def spoonfuls(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
+def spoonfuls(texts: Iterable[str | None], chars: int = 500_000) -> Iterator[list[str]]:
     """Texts in lists of some ``chars`` characters (a longer text alone), null as empty."""
     held: list[str] = []
     size = 0
@@ -111,7 +111,7 @@ def group_bounds(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(changed), len(frame))
 
 
-def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Send texts to Python in batches of at most ``rows``: a batch is held by the JVM and the worker at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:

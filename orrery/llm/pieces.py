@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 UNIGRAM = 1
 UNKNOWN_PENALTY = 10.0
 # Stretches that a worker remembers; the memo outlives the stage, so it is kept well below a worker's share of memory.
-MEMO = 300_000
+MEMO = 150_000
 # Stretches that the search walks at once.
 LOCKSTEP = 8192
 
