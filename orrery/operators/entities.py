@@ -120,6 +120,7 @@ def merge_empty_objects(
 ) -> tuple[DataFrame, DataFrame]:
     """Objects without any band hand their papers to the nearest kept object and go away.
 
+    An object without a receiver (it has no position, or no object with a band has one) stays, and keeps its papers.
     The receiver takes over the old name when that starts with M, HD or NGC; of several such senders the first by
     input order names it.
     """
@@ -130,6 +131,7 @@ def merge_empty_objects(
     moves = nearest_other(empty, kept, "objid", position, seq).select(
         F.col("objid").alias("from_id"), F.col("nearest").alias("to_id"), F.col(seq).alias("_from_seq")
     )
+    moves = moves.filter("to_id is not null")
     catalogue = F.col("from_id").rlike("^(M|HD|NGC)")
     renames = (
         moves.filter(catalogue)

@@ -57,6 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, by a Parquet table in the shared folder: the planner then sees its true size. A checkpoint keeps
+    the estimate of its plan, which a loop that joins a table to what came of it multiplies without end."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where the planner's own estimate of the side, in bytes, fits the bound; no job is run.
 

@@ -71,7 +71,7 @@ def test_text_cells(spark):
         ("galaxies: individual (M31)", "galaxies"),
         ("dust", None),
         ("abc", None),
-        ("H2O masers 22", "ho masers"),
+        ("H2O masers 22", "chemistry"),
     ],
 )
 def test_clean_tag(spark, raw, expected):
