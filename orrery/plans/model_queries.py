@@ -11,6 +11,7 @@ from orrery.operators import factorise as FA
 from orrery.operators import linear as LM
 from orrery.operators import projection as PR
 from orrery.operators import recommend as RC
+from orrery.operators.distances import distance_quantile
 from orrery.operators.profile import describe
 from orrery.plans.entity_queries import SQL_SCORED, SQL_VOTED, scored
 from orrery.plans.registry import query
@@ -137,6 +138,14 @@ def ml04_noise(t):
     return CL.dbscan(_positions(t), "id", ["x", "y"], 4.0).select("id", (F.col("label") == -1).alias("noise"))
 
 
+@query(
+    "ml05_median_distance",
+    sql=f"""select quantile_cont(sqrt((a.x - b.x)^2 + (a.y - b.y)^2), 0.5) as median_distance from {_SQL_POINTS} a join {_SQL_POINTS} b on a.id < b.id""",
+)
+def ml05_median(t):
+    return t.spark.createDataFrame([(distance_quantile(_positions(t), ["x", "y"]),)], "median_distance double")
+
+
 @query("ml05_radius_candidates")
 def ml05_search(t):
     points = t.objects().select("seq", F.col("ra").alias("x"), F.col("dec").alias("y"))
@@ -336,7 +345,7 @@ def ml15(t):
     papers = cut_lineage(_paper_components(t))
     dims = [f"x{i}" for i in range(5)]
     placed = components.select("objid", "seq", *[F.get("pc", F.lit(i)).alias(d) for i, d in enumerate(dims)])
-    radius = CL.choose_radius(CL.radius_candidates(placed, "seq", dims)).first()["eps"] or CL.median_distance(placed, "seq", dims)
+    radius = CL.choose_radius(CL.radius_candidates(placed, "seq", dims)).first()["eps"] or distance_quantile(placed, dims)
     groups = cut_lineage(CL.dbscan(placed, "seq", dims, radius).join(components.select("objid", "seq"), "seq").select("objid", F.col("label").alias("cluster")))
     path = fresh_path(t.spark, "rebuilt")
     RC.build(components.select("objid", "pc"), papers, edges, groups, projection=projection).save(path)
