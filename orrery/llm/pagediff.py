@@ -38,7 +38,7 @@ HALO_PAGES = 8
 COPY_SHARE = 0.8
 BROADCAST_BYTES = 32 << 20
 
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "xmp", "math", "object", "canvas"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "xmp", "object", "canvas"}
 NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = set(
@@ -56,23 +56,34 @@ SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# Inside an article these name its own title and sections, unless they are joined to a word for lists of links.
+OWN_NAMES = {"header", "masthead", "banner", "related", "recommended"}
+LINK_LISTS = {"posts", "links", "articles", "stories", "news", "content", "reading", "box"}
+# Attributes in their order, name and value: what stands inside a value is never taken for a name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
-def is_side(name: str, attributes: str) -> bool:
-    """Is this element's content never part of the article, by its name, role or class?"""
+def is_side(name: str, attributes: str, inside: bool = False) -> bool:
+    """Is this element's content never part of the article, by its name, role or class? ``inside``: it lies in an article."""
     if name in NEVER:
         return True
     if not attributes or name in ("body", "html", "main", "article"):
         return False
+    own = SIDE_NAMES - OWN_NAMES if inside else SIDE_NAMES
+    seen = set()
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
+        if key in seen:
+            continue
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in SIDE_ROLES:
             return True
         if key in ("class", "id"):
             for part in value.split():
                 words = re.split(r"[-_]+", part)
-                if words[0] not in ("has", "no", "with", "without", "is") and SIDE_NAMES.intersection(words):
+                if words[0] in ("has", "no", "with", "without", "is"):
+                    continue
+                if own.intersection(words) or OWN_NAMES.intersection(words) and LINK_LISTS.intersection(words):
                     return True
     return False
 
@@ -146,7 +157,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        side = is_side(name, m[3] or m[6] or "") or name == "header" and not inside
+        side = is_side(name, m[3] or m[6] or "", inside) or name == "header" and not inside
         stack.append((name, out or side, inside or name in ("article", "main") and not out))
     flush()
     if any(safe for _, safe, _ in lines):

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from orrery.llm import pagediff
 
 
@@ -108,3 +110,24 @@ def test_every_page_of_a_long_host_finds_a_partner(spark):
     assert all(found[1000 + i] == own("T", 0) for i in range(70))
     assert all("Menu text" not in text and text.startswith("T") for text in found.values())
     assert all(found[2000 + i] == "\n\n".join(["T", *(f"Same {j}." for j in range(40)), f"Printed {i} times."]) for i in range(100))
+
+
+@pytest.mark.parametrize(
+    "inner, expected",
+    [
+        ('<div style="overflow:hidden"><p>Body text</p></div>', ["Body text"]),
+        ('<p data-hidden="false">Shown</p><p hidden>Not shown</p>', ["Shown"]),
+        ('<p title="a hidden gem">Gem</p>', ["Gem"]),
+        ('<p><a href="/p?id=share">the link</a> stays</p>', ["the link stays"]),
+        ("<p><a href=/p?class=menu>bare</a> value</p>", ["bare value"]),
+        ('<section class="related work"><p>Earlier studies</p></section>', ["Earlier studies"]),
+        ('<h1 class="entry-header">Title</h1><p>Text</p>', ["Title", "Text"]),
+        ('<div class="related-posts"><p>More</p></div><p>Text</p>', ["Text"]),
+        ('<div id="comments"><p>First!</p></div><div class="ad">Buy</div><p>Text</p>', ["Text"]),
+        ("<p>Let <math><mi>x</mi></math> be</p>", ["Let x be"]),
+        ('<p class="has-sidebar">Wide</p><p CLASS=share-bar>Tweet</p>', ["Wide"]),
+        ('<p class="text" class="ad">First value holds</p>', ["First value holds"]),
+    ],
+)
+def test_attributes(inner, expected):
+    assert lines(f"<body><article>{inner}</article></body>") == expected
