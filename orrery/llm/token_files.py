@@ -33,6 +33,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("leng
 
 # A shard is closed when its compressed documents reach this size.
 SHARD_BYTES = 8 << 20
+# Words that a worker remembers.
+WORDS_KEPT = 1_200_000
 # The dictionary is trained on at most this many documents (those with the smallest hashes), each with at most this many ids.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1024, 4096, 64 << 10
 
@@ -67,10 +69,10 @@ def word_encoder(tokenizer_path: str):
         known = cores.learn([x for p in parts for x in p])
         return [known[core] + known[tail] for core, tail in parts]
 
-    cache = WordCache(f"ids {tokenizer_path}", many)
+    cache = WordCache(f"ids {tokenizer_path}", many, WORDS_KEPT)
 
     def encode(texts: Iterable[str | None]) -> Iterator[bytes]:
-        for some in spoonfuls(texts):
+        for some in spoonfuls(texts, 1_000_000):
             split = [lowered(t).replace("\n", " ").split(" ") for t in some]
             known = cache.learn(chain.from_iterable(split)).__getitem__
             yield from [b"".join(map(known, words)) for words in split]
@@ -93,6 +95,8 @@ def core_and_tail(word: str) -> tuple[str, str]:
         return word, ""
     if core.isascii():
         return core.lower(), word[len(core) :]
+    if is_plain(core):
+        return core, word[len(core) :]
     low = "".join([c.lower() for c in core])
     return low if is_plain(low) else core, word[len(core) :]
 
