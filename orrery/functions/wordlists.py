@@ -51,94 +51,124 @@ TAG_PREFIXES = [
     ("minor planets", "planetary systems"),
 ]
 
-# Further substring replacements by their target, in order; texts are parted by bars.
+# Further substring replacements by their target, in order.
 TAG_CONTAINS_GROUPS = [
     (
         "stellar studies",
-        "red giant stars|red giants|white dwarf stars|hertzsprung russell and c m diagrams|"
-        "hertzsprung russell and colour magnitude diagrams|white dwarfs|wolf rayet stars|triple stars|variable stars|variables other|"
-        "a stars|halo stars|o stars|ob associations|ob stars|symbiotic stars|supermassive stars|supergiant stars|neutron stars|"
-        "stars: magnetic fields|tars oscillations|photosphere|peculiar stars|db stars|b stars|be formation|subdwarfs|"
-        "m dwarf stars|m stars|distribution of stars|blue stars|blue stragglers|asymptotic giant branch stars|binary stars|"
-        "brown dwarfs|k stars|giant stars|f stars|first stars|horizontal branch stars|main sequence stars|"
-        "population ii stars|pre main sequence stars|eclipsing stellar studies|low mass x ray stellar studies|post stellar studies|"
-        "pre stellar studies|long period variables|main sequence",
+        [
+            "red giant stars", "red giants", "white dwarf stars", "hertzsprung russell and c m diagrams",
+            "hertzsprung russell and colour magnitude diagrams", "white dwarfs", "wolf rayet stars", "triple stars", "variable stars",
+            "variables other", "a stars", "halo stars", "o stars", "ob associations", "ob stars", "symbiotic stars", "supermassive stars",
+            "supergiant stars", "neutron stars", "stars: magnetic fields", "tars oscillations", "photosphere", "peculiar stars", "db stars",
+            "b stars", "be formation", "subdwarfs", "m dwarf stars", "m stars", "distribution of stars", "blue stars", "blue stragglers",
+            "asymptotic giant branch stars", "binary stars", "brown dwarfs", "k stars", "giant stars", "f stars", "first stars",
+            "horizontal branch stars", "main sequence stars", "population ii stars", "pre main sequence stars", "eclipsing stellar studies",
+            "low mass x ray stellar studies", "post stellar studies", "pre stellar studies", "long period variables", "main sequence",
+        ],
     ),
     (
         "statistics",
-        "statistical|statistics computation|statistics machine learning|astrostatistics|spatial distribution|correlation|"
-        "tables data|density distribution|fluorescence|flux density",
+        [
+            "statistical", "statistics computation", "statistics machine learning", "astrostatistics", "spatial distribution", "correlation",
+            "tables data", "density distribution", "fluorescence", "flux density",
+        ],
     ),
-    ("instrumentation", "very large array vla|very large telescope|virtual observatory tools"),
-    ("star clusters", "young massive clusters"),
+    ("instrumentation", ["very large array vla", "very large telescope", "virtual observatory tools"]),
+    ("star clusters", ["young massive clusters"]),
     (
         "galaxies",
-        "peculiar galaxies|nearby galaxies|compact galaxies|irregular galaxies|interacting galaxies|dwarf galaxies|disk galaxies|"
-        "continuum galaxies|elliptical galaxies|galaxies|low surface brightness galaxies|sagittarius dwarf spheroidal galaxy",
+        [
+            "peculiar galaxies", "nearby galaxies", "compact galaxies", "irregular galaxies", "interacting galaxies", "dwarf galaxies",
+            "disk galaxies", "continuum galaxies", "elliptical galaxies", "galaxies", "low surface brightness galaxies",
+            "sagittarius dwarf spheroidal galaxy",
+        ],
     ),
-]
+]
 
-# Further prefixes by their target, in order; texts are parted by bars, and a blank at the end counts.
+# Further prefixes by their target, in order; a blank at the end counts.
 TAG_PREFIX_GROUPS = [
     (
         "astrophysics",
-        "astrophysics|tidal|cosmology|gravitational len|accretion|methods|astronomy|time|mass to light|astronomical|thermal emission|"
-        "atomic|celestial mechanics|polarization|nuclear |high energy|astroparticle physics|acceleration of particles|asteroseismology|"
-        "magnetic |light curve|line |light transmission|cosmic |dark |electron |evolution|equation|cosmological parameters|"
-        "general relativity and quantum cosmology|primordial nucleosynthesis|nuclei|nucleosynthesis|n body simulations|"
-        "large scale structure of universe|many body problem|relativistic processes|centimeter waves|gravitational waves|shock waves|"
-        "missing mass astrophysics|millimiter astronomy|hst photometry|electrophotometry|equipartition theorem|gravitation",
+        [
+            "astrophysics", "tidal", "cosmology", "gravitational len", "accretion", "methods", "astronomy", "time", "mass to light", "astronomical",
+            "thermal emission", "atomic", "celestial mechanics", "polarization", "nuclear ", "high energy", "astroparticle physics",
+            "acceleration of particles", "asteroseismology", "magnetic ", "light curve", "line ", "light transmission", "cosmic ", "dark ",
+            "electron ", "evolution", "equation", "cosmological parameters", "general relativity and quantum cosmology",
+            "primordial nucleosynthesis", "nuclei", "nucleosynthesis", "n body simulations", "large scale structure of universe",
+            "many body problem", "relativistic processes", "centimeter waves", "gravitational waves", "shock waves", "missing mass astrophysics",
+            "millimiter astronomy", "hst photometry", "electrophotometry", "equipartition theorem", "gravitation",
+        ],
     ),
     (
         "astrometry",
-        "velocity|three dimensional|distance|parallax|astrometric|angular velocity|techniques|visual binaries|photographic|photometric|"
-        "luminosity|kinematics|superhigh frequencies|space astrometry|mass|absolute magnitude|color |"
-        "orbit determination and improvement|multiple stars star positions|reference systems|reference stars|washington system|"
-        "celestial reference systems|proper motions|red shift|radial |observational|occultations|optical|point sources|"
-        "point spread functions|hydrodynamic|position location|photoelectric magnitudes|faint objects",
+        [
+            "velocity", "three dimensional", "distance", "parallax", "astrometric", "angular velocity", "techniques", "visual binaries",
+            "photographic", "photometric", "luminosity", "kinematics", "superhigh frequencies", "space astrometry", "mass", "absolute magnitude",
+            "color ", "orbit determination and improvement", "multiple stars star positions", "reference systems", "reference stars",
+            "washington system", "celestial reference systems", "proper motions", "red shift", "radial ", "observational", "occultations",
+            "optical", "point sources", "point spread functions", "hydrodynamic", "position location", "photoelectric magnitudes", "faint objects",
+        ],
     ),
     (
         "spectral analysis",
-        "spectroscopic|spectral|spectrum|photometry|brightness|wavelengths|radiation mechanisms|visible spectrum|ubv |"
-        "surface photometry|balmer series|spectrophotometry|absorption spectra|angular resolution|masers|water masers|k lines|emission|"
-        "continuous spectra|continuous radiation|diffuse radiation|extragalactic radio sources|far ultraviolet radiation|"
-        "key words radiation mechanisms non thermal|radiant flux density|radiative transfer|radio|relic radiation|temperature gradients",
+        [
+            "spectroscopic", "spectral", "spectrum", "photometry", "brightness", "wavelengths", "radiation mechanisms", "visible spectrum", "ubv ",
+            "surface photometry", "balmer series", "spectrophotometry", "absorption spectra", "angular resolution", "masers", "water masers",
+            "k lines", "emission", "continuous spectra", "continuous radiation", "diffuse radiation", "extragalactic radio sources",
+            "far ultraviolet radiation", "key words radiation mechanisms non thermal", "radiant flux density", "radiative transfer", "radio",
+            "relic radiation", "temperature gradients",
+        ],
     ),
     (
         "stellar studies",
-        "stars binaries|stellar|stars|star|binaries|astrometric and interferometric binaries|hertzsprung|supergiants|stellar studies|"
-        "cepheid|sun |young star|young stellar|sstellar|solar|rr lyrae stellar|cataclysmic|dstellar",
+        [
+            "stars binaries", "stellar", "stars", "star", "binaries", "astrometric and interferometric binaries", "hertzsprung", "supergiants",
+            "stellar studies", "cepheid", "sun ", "young star", "young stellar", "sstellar", "solar", "rr lyrae stellar", "cataclysmic", "dstellar",
+        ],
     ),
     (
         "instrumentation",
-        "schmidt cameras|schmidt telescope|cassegrain|instrumentation|telescopes|cameras|calibrating|ccd|satellite borne photography|"
-        "hubble|ligo|bolometers|fabry perot interferometers",
+        [
+            "schmidt cameras", "schmidt telescope", "cassegrain", "instrumentation", "telescopes", "cameras", "calibrating", "ccd",
+            "satellite borne photography", "hubble", "ligo", "bolometers", "fabry perot interferometers",
+        ],
     ),
-    ("galaxies", "galaxy|galaxies|galactic|milky way|spiral|seyfert|barred |local group"),
-    ("star clusters", "orion|globular|globular clusters|open clusters|clusters|pleiades|open cluster|open star clusters"),
+    ("galaxies", ["galaxy", "galaxies", "galactic", "milky way", "spiral", "seyfert", "barred ", "local group"]),
+    ("star clusters", ["orion", "globular", "globular clusters", "open clusters", "clusters", "pleiades", "open cluster", "open star clusters"]),
     (
         "chemistry",
-        "carbon|nitrogen|neon|sulfur|oxygen|molecular|hydrogen|helium|metallic|abundance|argon|calcium|chemical|h |hii |ho |"
-        "neutral hydrogen|astrochemistry|reionization",
+        [
+            "carbon", "nitrogen", "neon", "sulfur", "oxygen", "molecular", "hydrogen", "helium", "metallic", "abundance", "argon", "calcium",
+            "chemical", "h ", "hii ", "ho ", "neutral hydrogen", "astrochemistry", "reionization",
+        ],
+    ),
+    ("statistics", ["astrostatistics", "statistics", "bayesian ", "sampling", "data "]),
+    (
+        "black holes",
+        [
+            "black hole", "astrophysical black holes", "quasars", "active galactic nuclei", "active galaxies", "agb and post agb", "bl lacertae",
+        ],
     ),
-    ("statistics", "astrostatistics|statistics|bayesian |sampling|data "),
-    ("black holes", "black hole|astrophysical black holes|quasars|active galactic nuclei|active galaxies|agb and post agb|bl lacertae"),
-    ("catalog", "catalogue|catalog|sky survey|southern sky|sdss collaboration|survey"),
+    ("catalog", ["catalogue", "catalog", "sky survey", "southern sky", "sdss collaboration", "survey"]),
     (
         "novae and supernovae",
-        "supernovae|supernova|planetary nebulae|novae|transients supernovae|supernovae general|pulsars|binary pulsars|"
-        "core collapse supernovae|millisecond pulsar|millisecond pulsars|compact objects|dense matter",
+        [
+            "supernovae", "supernova", "planetary nebulae", "novae", "transients supernovae", "supernovae general", "pulsars", "binary pulsars",
+            "core collapse supernovae", "millisecond pulsar", "millisecond pulsars", "compact objects", "dense matter",
+        ],
     ),
-    ("nebulae", "nebulae|reflection nebulae|filamentary nebulae"),
-    ("interstellar medium", "ism|interstellar|intergalactic medium|interplanetary medium"),
-    ("early or late types", "early |late "),
-    ("asteroids and meteorids", "asteroids general|meteorites|meteoroids|meteors"),
+    ("nebulae", ["nebulae", "reflection nebulae", "filamentary nebulae"]),
+    ("interstellar medium", ["ism", "interstellar", "intergalactic medium", "interplanetary medium"]),
+    ("early or late types", ["early ", "late "]),
+    ("asteroids and meteorids", ["asteroids general", "meteorites", "meteoroids", "meteors"]),
     (
         "data analysis",
-        "russell and colour|hr diagram|magnitude diagrams|computer science machine learning|markov chain monte carlo|image processing|"
-        "imaging techniques|computational methods",
+        [
+            "russell and colour", "hr diagram", "magnitude diagrams", "computer science machine learning", "markov chain monte carlo",
+            "image processing", "imaging techniques", "computational methods",
+        ],
     ),
-]
+]
 
 # Tags that carry no topic.
 TAG_IGNORE = [
