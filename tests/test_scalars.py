@@ -112,3 +112,15 @@ def test_hash_draws(spark):
     assert row[3] == pytest.approx(0.2, abs=0.015) and row[4] == pytest.approx(0.2, abs=0.02)
     again = spark.range(0, 20000, 1, 13).select(uniform(5, "id").alias("u")).agg(F.sum("u")).first()[0]
     assert again == pytest.approx(df.agg(F.sum("u")).first()[0])
+
+
+def test_vocabulary_cleans_distinct_tags(spark):
+    """The cleaning stays above the distinct; by a filter it was pushed below and ran on every occurrence."""
+    papers = spark.createDataFrame([(1, ["Dust", "exoplanets", None]), (2, ["Dust", "and 119 more"]), (2, ["Exoplanets"]), (None, ["exo-planets"])], "id long, words array<string>")
+    words = TG.vocabulary(papers, "words")
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan[plan.rindex("Aggregate [_raw") :].lower()
+    clean = {r.tag for r in papers.select(F.explode(TG.clean_tags(F.col("words"))).alias("tag")).collect()}
+    assert {r.tag for r in words.collect()} == clean
+    whole = TG.papers_with_tag(papers, "words", "PLANET").select("id").distinct().collect()
+    assert {r.id for r in TG.ids_with_tag(papers, "id", "words", ["PLANET"]).collect()} == {r.id for r in whole} != set()
