@@ -8,6 +8,7 @@ from orrery.functions import wordlists as W
 from orrery.operators import tags as TG
 from orrery.operators import text as TX
 from orrery.plans.registry import query
+from orrery.plans.tables import in_order
 from orrery.session import cut_lineage
 from orrery.sources import html as H
 
@@ -223,7 +224,7 @@ def _table_pages(t):
     rows = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 14), row), "")
     table = F.concat(F.lit('<table><tbody class="datatable sortable">'), rows, F.lit("</tbody></table>"))
     html = F.concat(F.lit("<html><p>x</p>"), F.when(F.col("p_partkey") % 6 != 0, table).otherwise(F.lit("")), F.lit("</html>"))
-    return t.part.select("p_partkey", html.alias("html"))
+    return in_order(t.part, "p_partkey").select("p_partkey", html.alias("html"))
 
 
 # The twin states the cells directly instead of parsing them again.
@@ -245,8 +246,9 @@ def ext01(t):
     sql=f"select p_partkey, c0 as refcode, try_cast(nullif(c1, '') as integer) as score, c2 as relevance_code, c8 as title from {_SQL_CELLS}",
 )
 def ext02(t):
+    # The parts are in order before their pages are parsed: ordering the rows would parse every page twice, to sample and to sort.
     rows = H.bibliography(_table_pages(t), "p_partkey").drop("row_no")
-    return rows.orderBy("p_partkey", F.col("score").desc_nulls_last())
+    return rows.sortWithinPartitions("p_partkey", F.col("score").desc_nulls_last())
 
 
 @query(

@@ -58,3 +58,15 @@ def test_pivot_raises_on_duplicates(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", 2)], "r string, c string, v int")
     with pytest.raises(Exception, match="duplicate cell"):
         R.pivot_unique(df, "r", "c", "v", ["x"]).collect()
+
+
+def test_bibliography_is_ordered_before_pages_are_parsed(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["ext02_bibliography"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The plan is printed from the top: rows are made of pages above the one step that orders all parts.
+    assert plan.count("RepartitionByExpression") == 1 and "Sort [" in plan.split("Generate")[0] and ", true" not in plan.split("Generate")[0].split("\n")[0]
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")
+    rows = [(r["p_partkey"], r["score"] is None, -(r["score"] or 0)) for r in df.collect()]
+    assert len(rows) > 100 and rows == sorted(rows) and df.rdd.getNumPartitions() > 1
