@@ -124,3 +124,24 @@ def test_vocabulary_cleans_distinct_tags(spark):
     assert {r.tag for r in words.collect()} == clean
     whole = TG.papers_with_tag(papers, "words", "PLANET").select("id").distinct().collect()
     assert {r.id for r in TG.ids_with_tag(papers, "id", "words", ["PLANET"]).collect()} == {r.id for r in whole} != set()
+
+
+def test_every_containment_text_holds_a_fragment():
+    from orrery.operators import tags as TG
+
+    texts = [old for old, _ in TG.TagRules().contains if old]
+    found = TG._fragments(texts)
+    assert len(found) < len(texts) / 2 and all(any(f in t for f in found) for t in texts)
+    assert TG._fragments(["v m", "galaxies", "dwarf galaxies"]) and TG._fragments([]) == []
+
+
+def test_rules_reach_tags_with_and_without_fragments(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.operators import tags as TG
+
+    rules = TG.TagRules(contains=[("ab", "xyzw"), ("yzwq", "done"), ("long text", "short")], prefixes=[], ignore=[])
+    # The second rule meets what the first one made; one tag holds a fragment but no text.
+    tags = ["one abq", "a long text b", "a long tex", "plain"]
+    got = spark.createDataFrame([(tags,)], "tags array<string>").select(TG._replace_contained(F.col("tags"), rules)).first()[0]
+    assert got == ["one xdone", "a short b", "a long tex", "plain"]
