@@ -47,3 +47,13 @@ def test_twin(spark, con, name):
     df = entry.queries()[name](spark, str(DATA))
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == expected
+
+
+def test_papers_are_spread_over_the_cores(spark):
+    from orrery.plans import model_queries as M
+    from orrery.plans.tables import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    papers = M._papers(tables)
+    assert papers.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > tables.part.rdd.getNumPartitions()
+    assert papers.count() == tables.part.count()
