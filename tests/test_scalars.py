@@ -93,6 +93,17 @@ def test_tokens(spark):
     assert got[1] == ["http://a.b/c?d=1,"]
 
 
+def test_tokens_of_joined_words_and_gaps(spark):
+    text = "Cannot(CANNOT) cannots\u2003gonna\x85wanna_x9y \\[a]^b-c&&d https://a.b/cannot ~"
+    words = ["Can", "not", "CAN", "NOT", "cannots", "gon", "na", "wan", "na", "x", "y", "a", "b", "c", "d", "placeholderurl"]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " 12 .")], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in docs.select("doc_id", TX.tokens(F.col("text")).alias("t")).collect()}
+    assert got == {1: words, 2: None, 3: [], 4: []}
+    rows = TX.token_rows(docs, "doc_id", "text")
+    assert sorted(r.token for r in rows.collect()) == sorted(w.lower() for w in words if w.lower() not in TX.ENGLISH_STOP_WORDS)
+    # No lambda runs once per word: such lambdas are interpreted.
+    assert "filter(" not in rows._jdf.queryExecution().optimizedPlan().toString() and "transform(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
 def test_normal_and_tails(spark):
     got = one(spark, normal.cdf(F.lit(1.96)).alias("a"), normal.cdf(F.lit(-6.0)).alias("b"), normal.erfc(F.lit(0.1)).alias("c"))
     assert got[0] == pytest.approx(0.9750021048517795, rel=1e-13)
