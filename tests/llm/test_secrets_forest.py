@@ -68,3 +68,40 @@ def test_redaction_and_odd_input(spark, scanner):
     assert secrets_forest.redact(docs.limit(0), scanner).count() == 0
     bare = secrets_forest.train(docs.limit(0))
     assert [s[2] >= 0.5 for own in bare.scan(["password=b7db7aa4a5fcc78305"]) for s in own] == [True]
+
+
+def test_every_document_is_learned_from(spark):
+    """More documents than were once sampled, with long texts: all give findings, and words of the last ones are in the dictionary."""
+    rows = [(i, f"{'plain ' * 40}word{'qz' if i == 2500 else ''}") for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    findings = secrets_forest.derived_findings(docs)
+    assert findings.count() == 15 * len(rows)
+    known = secrets_forest.train(docs).known
+    assert "dqz" in known.threes
+
+
+def test_letter_groups_against_a_plain_count():
+    """Words of 2 to 20 characters, their letters alone, with the ends of the words as blanks."""
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abÄß文字İ9_-. \n\t ", k=rng.randrange(400))) for _ in range(40)] + [None, "", " ", "x", "9 9", "a" * 21, "b" * 20]
+    want: Counter = Counter()
+    for text in texts:
+        # The words of the lower-cased text, in which a letter may be two characters.
+        for word in (text or "").lower().split():
+            letters = "".join(c for c in word if c.isalpha()) if 2 <= len(word) <= 20 else ""
+            if letters:
+                want.update(a + b for a, b in zip(" " + letters, letters + " "))
+                want.update(letters[i : i + 3] for i in range(len(letters) - 2))
+    assert secrets_forest.letter_groups(texts) == want
+    many = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(15)) for _ in range(300)]
+    assert secrets_forest.letter_groups(many) == sum((secrets_forest.letter_groups([t]) for t in many), Counter())
+
+
+def test_labelled_tables_are_learned_from(spark):
+    """A table of one's own, with its words; the labels decide."""
+    rows = [(f"set {'K' if i % 2 else 'v'}{i:07d}x on", 4, 13, i % 2, ["set", "on"]) for i in range(200)]
+    scanner = secrets_forest.fit(spark.createDataFrame(rows, "text string, first int, after int, label int, words array<string>"))
+    assert scanner.known.threes == {"set"}
+    assert [s[2] >= 0.5 for own in scanner.scan(["set K0000900x on", "set v0000900x on"]) for s in own] == [True, False]
